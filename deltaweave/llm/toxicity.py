@@ -4,9 +4,9 @@ Words become the symbols insult, threat, target, negation, report and other. Fiv
 transducers read them: the insult transducer marks insults; the target, negation and
 reported-speech transducers re-mark an insult inside their scope; the threat transducer marks a
 threat that meets a target. Their composition is one machine that is reset at each clause
-border, and a clause counts by the kind of match it holds, so a bare word list scores nothing
-that the grammar does not accept. The insult lexicon (word forms and word beginnings, for
-inflected languages) and the weights of the kinds are learned from a bounded labelled sample.
+border, and a clause counts by the kind of match it holds. The insult lexicon (word forms and
+word beginnings, for inflected languages; mild where only their repetition tells) and the
+weights of the kinds are learned from a bounded labelled sample.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaweave.llm.kernel import Hasher, blocks, per_row, runs
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, MILD, THREAT, TARGET, NEGATION, REPORT = range(7)
 
 #: Closed-class words of four languages; fixed values.
 THREATS = frozenset("kill hurt destroy beat burn smash töten umbringen verletzen tuer frapper détruire matar destruir golpear".split())
@@ -34,6 +34,8 @@ REPORTS = frozenset("said says wrote claimed called quoted reported sagte schrie
 
 #: Kinds of matches that the composed machine emits.
 KINDS = ("insult", "aimed", "negated", "reported", "threat")
+#: What the logistic layer reads: matches by kind, and all matches per 100 words.
+SIGNALS = (*KINDS, "density")
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -60,7 +62,7 @@ class Transducer:
 
     def __matmul__(self, other: Transducer) -> Transducer:
         """Composition: what this one writes, ``other`` reads; weights add."""
-        symbols = {s for _, s in self.arcs if s is not None} | {s for _, s in other.arcs if s is not None} | set(range(6))
+        symbols = {s for _, s in self.arcs if s is not None} | {s for _, s in other.arcs if s is not None} | set(range(7))
         arcs, todo, seen = {}, [(self.start, other.start)], set()
         while todo:
             if (pair := todo.pop()) in seen:
@@ -87,7 +89,7 @@ def scope(trigger: int, marks: dict[object, object], span: int, weight: float =
 
 def grammar() -> Transducer:
     """insult, then threat, target, negation and reported speech, composed left to right."""
-    insult = Transducer({(0, INSULT): ("insult", 1.0, 0)})
+    insult = Transducer({(0, INSULT): ("insult", 1.0, 0), (0, MILD): ("insult", 0.5, 0)})
     threat = scope(THREAT, {TARGET: "threat"}, 3, 1.0)
     target = scope(TARGET, {"insult": "aimed"}, 4, 0.5)
     negation = scope(NEGATION, {"insult": "negated", "aimed": "negated"}, 3, -0.5)
@@ -101,7 +103,8 @@ class Model:
 
     forms: tuple[bytes, ...] = ()
     beginnings: tuple[bytes, ...] = ()
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(KINDS)))
+    mild: frozenset[bytes] = frozenset()
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(SIGNALS)))
     intercept: float = -3.0
 
     def compiled(self) -> Matcher:
@@ -119,7 +122,7 @@ class Matcher:
 
     def __init__(self, model: Model) -> None:
         self.machine = grammar()
-        self.forms, self.beginnings = frozenset(model.forms), frozenset(model.beginnings)
+        self.forms, self.beginnings, self.mild = frozenset(model.forms), frozenset(model.beginnings), model.mild
         self.lengths = sorted({len(b) for b in model.beginnings})
         threats = tuple(t.encode() for t in sorted(THREATS))
         self.whole = np.sort(_hashes((*model.forms, *threats)))
@@ -127,8 +130,9 @@ class Matcher:
         self.closed = {w.encode(): kind for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (REPORT, REPORTS), (NEGATION, NEGATIONS)) for w in words}
 
     def symbol(self, word: bytes) -> int:
-        if word in self.forms or any(word[:n] in self.beginnings for n in self.lengths if n <= len(word)):
-            return INSULT
+        found = word if word in self.forms else next((word[:n] for n in self.lengths if n <= len(word) and word[:n] in self.beginnings), None)
+        if found is not None:
+            return MILD if found in self.mild else INSULT
         return self.closed.get(word, OTHER)
 
     def matches(self, text: bytes) -> np.ndarray:
@@ -145,7 +149,7 @@ class Matcher:
         return np.array([total[k] for k in KINDS])
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-        """For each block: first row, rows, matches by kind."""
+        """For each block: first row, rows, signals."""
         for block in blocks(texts):
             token = runs(_LETTER[block.data], block.offsets)
             hasher = Hasher(block.data, lower=True)
@@ -156,9 +160,10 @@ class Matcher:
             for n, known in self.by_length.items():
                 at = np.flatnonzero(sizes >= n)
                 hit[at[_among(hasher.ranges(token.starts[at], token.starts[at] + n), known)]] = True
-            out = np.zeros((block.rows, len(KINDS)))
+            out = np.zeros((block.rows, len(SIGNALS)))
             for row in np.flatnonzero(per_row(hit, token.bounds)).tolist():
-                out[row] = self.matches(block.data[block.offsets[row] : block.offsets[row + 1]].tobytes())
+                out[row, :-1] = self.matches(block.data[block.offsets[row] : block.offsets[row + 1]].tobytes())
+            out[:, -1] = 100 * out.sum(axis=1) / np.maximum(token.counts, 20)
             yield block.first, block.rows, out
 
 
@@ -168,47 +173,71 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def shapes(text: bytes) -> set[bytes]:
-    """Word forms (led by ``=``) and beginnings of a text's distinct words."""
-    out = set()
-    for word in set(re.findall(rb"[a-z\x80-\xff]{3,40}", text.lower())):
-        out.add(b"=" + word)
-        out.update(word[:n] for n in PREFIX_BYTES if n < len(word) and not 128 <= word[n] < 192)
+def shapes(text: bytes) -> dict[bytes, int]:
+    """Word forms (led by ``=``) and beginnings of a text's words, with their occurrences."""
+    out: Counter[bytes] = Counter()
+    for word, n in Counter(re.findall(rb"[a-z\x80-\xff]{3,40}", text.lower())).items():
+        out[b"=" + word] += n
+        for size in PREFIX_BYTES:
+            if size < len(word) and not 128 <= word[size] < 192:
+                out[word[:size]] += n
     return out
 
 
-def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 600, least: int = 6, odds: float = 3.0) -> tuple[tuple[bytes, ...], tuple[bytes, ...]]:
-    """Forms and beginnings far commoner in toxic texts; of equal ones the most specific.
+def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 600, least: int = 6, odds: float = 3.0) -> tuple[tuple[bytes, ...], tuple[bytes, ...], frozenset[bytes]]:
+    """Forms and beginnings far commoner in toxic texts, and which of them are mild: far
+    commoner only as repeated. Of shapes that say the same, the most specific stays.
 
     ``sample`` has ``toxic`` and ``text``. Counts are summed in Spark; at most ``8 * most``
     candidates reach the driver.
     """
+    names = ["clean", "toxic", "clean_again", "toxic_again"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+        counts: tuple[Counter[bytes], ...] = tuple(Counter() for _ in names)
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[int(toxic)].update(shapes((text or "").encode()))
-        keys = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary()), *(pa.array([c[k] for k in keys], type=pa.int64()) for c in counts)], names=["shape", "clean", "toxic"])
-
-    summed = sample.select("toxic", "text").mapInArrow(run, "shape binary, clean long, toxic long").groupBy("shape").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    lift = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    best = summed.where((F.col("toxic") >= max(least, n_toxic // 200)) & (lift >= odds)).withColumn("gain", lift * F.sqrt("toxic")).orderBy(F.desc("gain"), "shape").limit(8 * most).collect()
-    found = {bytes(r["shape"]): (r.gain, r.toxic) for r in best}
-    forms, beginnings = [], []
-    for shape in sorted(found, key=lambda s: (-round(found[s][0], 6), -len(s), s)):
-        word = shape.removeprefix(b"=")
-        if any(word.startswith(b) for b in beginnings) or word in forms:
+                found = shapes((text or "").encode())
+                counts[int(toxic)].update(found.keys())
+                counts[2 + int(toxic)].update(k for k, n in found.items() if n > 1)
+        keys = list(counts[1].keys())  # shapes of clean texts alone cannot be chosen ...
+        keys += [k for k in counts[0] if k not in counts[1]]  # ... but their counts add up
+        yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary()), *(pa.array([c[k] for k in keys], type=pa.int64()) for c in counts)], names=["shape", *names])
+
+    summed = sample.select("toxic", "text").mapInArrow(run, "shape binary, " + ", ".join(f"{n} long" for n in names)).groupBy("shape").agg(*(F.sum(n).alias(n) for n in names))
+
+    def lift(clean: str, toxic: str) -> Column:
+        return F.log((F.col(toxic) + 0.5) / (n_toxic + 1)) - F.log((F.col(clean) + 0.5) / (n_clean + 1))
+
+    support = max(least, n_toxic // 200)
+    strong = F.when(F.col("toxic") >= support, lift("clean", "toxic")).otherwise(0.0)
+    mild = F.when(F.col("toxic_again") >= support, lift("clean_again", "toxic_again")).otherwise(0.0)
+    best = (
+        summed.select("shape", strong.alias("strong"), mild.alias("mild"), "toxic", "toxic_again")
+        .where((F.col("strong") >= odds) | (F.col("mild") >= odds))
+        .withColumn("hits", F.when(F.col("strong") >= odds, F.col("toxic")).otherwise(F.col("toxic_again")))
+        .withColumn("gain", F.greatest("strong", "mild") * F.sqrt("hits"))
+        .orderBy(F.desc("gain"), "shape")
+        .limit(8 * most)
+        .collect()
+    )
+    found = {bytes(r["shape"]): r for r in best}
+    forms: list[bytes] = []
+    beginnings: list[bytes] = []
+    gentle = set()
+    for shape in sorted(found, key=lambda s: (-round(found[s].gain, 6), -len(s), s)):
+        word, hits = shape.removeprefix(b"="), found[shape].hits
+        chosen = [(b"=" + f, f) for f in forms] + [(b, b) for b in beginnings]
+        if word in forms or any(word.startswith(b) for b in beginnings):
             continue
-        if not shape.startswith(b"=") and any(f.startswith(word) and found[shape][1] < 1.2 * found[b"=" + f][1] for f in forms if b"=" + f in found):
+        if shape == word and any(w.startswith(word) and hits < 1.2 * found[s].hits for s, w in chosen):
             continue
-        if not shape.startswith(b"=") and any(b.startswith(word) and found[shape][1] < 1.2 * found[b][1] for b in beginnings):
-            continue
-        (forms if shape.startswith(b"=") else beginnings).append(word)
+        (beginnings if shape == word else forms).append(word)
+        if found[shape].strong < odds:
+            gentle.add(word)
         if len(forms) + len(beginnings) >= most:
             break
-    return tuple(forms), tuple(beginnings)
+    return tuple(forms), tuple(beginnings), frozenset(gentle)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 4_000, max_clean: int = 8_000) -> Model:
@@ -227,10 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         matcher = model.compiled()
         for batch in batches:
             for first, rows, found in matcher.batch(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), *(pa.array(found[:, k]) for k in range(len(KINDS)))], names=["toxic", *KINDS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), *(pa.array(found[:, k]) for k in range(len(SIGNALS)))], names=["toxic", *SIGNALS])
 
-    got = sample.select("toxic", "text").mapInArrow(run, "toxic int, " + ", ".join(f"{k} double" for k in KINDS)).toPandas()
-    x, y = np.log1p(got[list(KINDS)].to_numpy(dtype=float)), got["toxic"].to_numpy(dtype=float)
+    got = sample.select("toxic", "text").mapInArrow(run, "toxic int, " + ", ".join(f"{k} double" for k in SIGNALS)).toPandas()
+    x, y = np.log1p(got[list(SIGNALS)].to_numpy(dtype=float)), got["toxic"].to_numpy(dtype=float)
     model.weights, model.intercept = _logistic(x, y)
     return model
 
@@ -264,9 +293,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for first, rows, found in matcher.batch(batch.column(1)):
                 p = 1 / (1 + np.exp(-(np.log1p(found) @ model.weights + model.intercept)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(pa.array(found[:, k]) for k in range(len(KINDS)))],
-                    names=["id", "score", "predicted", *KINDS],
+                    [batch.column(0).slice(first, rows), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(pa.array(found[:, k]) for k in range(len(SIGNALS)))],
+                    names=["id", "score", "predicted", *SIGNALS],
                 )
 
-    schema = f"id {kind}, score double, predicted int, " + ", ".join(f"{k} double" for k in KINDS)
+    schema = f"id {kind}, score double, predicted int, " + ", ".join(f"{k} double" for k in SIGNALS)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
