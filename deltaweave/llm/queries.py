@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm import packing, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_filters
+from deltaweave.llm import packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filters
 
 
 def tokenizer_file(name: str) -> str:
@@ -52,6 +52,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.spans_by_document(table(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digests(quality_rules.judge(table(spark, sf_dir, "documents")))
 
@@ -62,7 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_url_filters": op5_url_filters,
     "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_filters.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_filters.oracle(), "op8_secrets": secret_scan.oracle()}
