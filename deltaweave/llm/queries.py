@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm import packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filters
+from deltaweave.llm import packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filters, vector_search
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,6 +60,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digests(quality_rules.judge(table(spark, sf_dir, "documents")))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_quality_rules": op9_quality_rules,
+    "op10_neighbours": op10_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_filters.oracle(), "op8_secrets": secret_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_filters.oracle(), "op8_secrets": secret_scan.oracle(), "op10_neighbours": vector_search.oracle()}
