@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm import packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity, url_filters, vector_search
+from deltaweave.llm import packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity, url_filters, vector_search
 
 
 def tokenizer_file(name: str) -> str:
@@ -45,6 +45,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
@@ -70,10 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op5_url_filters": op5_url_filters,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_quality_rules": op9_quality_rules,
     "op10_neighbours": op10_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_filters.oracle(), "op8_secrets": secret_scan.oracle(), "op10_neighbours": vector_search.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_filters.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op8_secrets": secret_scan.oracle(), "op10_neighbours": vector_search.oracle()}
