@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaweave.llm import packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity, url_filters, vector_search
+from deltaweave.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity, url_filters, vector_search
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,6 +41,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_url_filters": op5_url_filters,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
@@ -81,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": url_filters.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op8_secrets": secret_scan.oracle(), "op10_neighbours": vector_search.oracle()}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_join": ngram_join.oracle(), "op5_url_filters": url_filters.oracle(), "op6_substring_dedup": substring_dedup.oracle(), "op8_secrets": secret_scan.oracle(), "op10_neighbours": vector_search.oracle()}
