@@ -1,10 +1,11 @@
-"""Session helpers."""
+"""Session helpers: Python workers' path and checkpoints in shared storage."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reach_workers(spark: SparkSession) -> SparkSession:
@@ -17,3 +18,16 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     return spark
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Take the folder of ``spark.checkpoint.dir``; only where it is unset, a local one (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows from the shared folder: computed once, and safe from lost executors."""
+    use_checkpoints(frame.sparkSession)
+    return frame.checkpoint(eager=True)
