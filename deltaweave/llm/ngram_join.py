@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaweave.llm.components import components
+from deltaweave.llm.components import EDGES_A_TASK, components
 from deltaweave.llm.kernel import U64, Block, Hasher, blocks, mix, window_owner_mask, windows, words
 from deltaweave.llm.storage import cut, release
 
@@ -316,6 +316,11 @@ def join_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
             used = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
             own = sets.join(used, "c", "left_semi").dropDuplicates(["c"])
             found = cut(_products(pairs, own))
+            del rows, pairs, used, own
+            release(spark)
+            if not (links_found := found.count()):
+                continue
+            found = found.coalesce(1 + links_found // EDGES_A_TASK)
             links = found if links is None else links.unionByName(found)
             labels = components(links)
     if labels is None:
