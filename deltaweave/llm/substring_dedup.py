@@ -166,7 +166,7 @@ def _suspect_windows(docs: DataFrame, sketch: np.ndarray, bits: int, width: int)
             by = np.lexsort((starts[settled], sigs[settled], ids[settled]))
             i, g, t = ids[settled][by], sigs[settled][by], starts[settled][by]
             head = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (g[1:] != g[:-1]) | (t[1:] > t[:-1] + 1)]) if len(t) else np.zeros(0, dtype=np.int64)
-            length = t[np.r_[head[1:], len(t)] - 1] - t[head] + 1
+            length = t[np.r_[head[1:], len(t)][: len(head)] - 1] - t[head] + 1
             # settled runs need no partner: they are dealt evenly
             key = mix(i[head].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + t[head].astype(np.uint64), 41).view(np.int64)
             parts = (
