@@ -1,4 +1,4 @@
-"""Column predicates by operator name, with the reference's names and standard semantics.
+"""Column predicates by operator name, with standard semantics.
 
 They are plain boolean columns: Catalyst pushes them to the scan and fuses them with whatever
 follows, so a "mask" is never materialised.

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from deltaweave.operators.zframe import Condition, W, ZFrame, as_column
@@ -94,6 +94,12 @@ def match_counts(left: ZFrame, right: ZFrame, left_keys: Keys, right_keys: Keys)
     return a.join(b, [f"_k{i}" for i in range(len(key_list(left_keys)))]).agg(F.coalesce(F.sum(F.col("_l") * F.col("_r")), F.lit(0)).cast("long").alias("pairs"))
 
 
+def observed(frame: ZFrame, name: str) -> tuple[ZFrame, Observation]:
+    """The same table, and its rows and weight as counted when a job has run over it."""
+    seen = Observation(name)
+    return ZFrame(frame.df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(W), F.lit(0)).alias("weight"))), seen
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, take: Sequence[str], forward: bool = False, bucket: Condition | None = None) -> DataFrame:
     """Each left row with ``take`` of the right row of its key that is nearest in time, at or
     before it (or at or after it); nulls without one.

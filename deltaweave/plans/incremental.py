@@ -1,13 +1,14 @@
 """Incremental operators: each takes this step's deltas and returns its output's delta.
 
-State lives in checkpointed tables (shared folder), replaced every step; plans never grow with
-the number of steps. Linear operators need none. Work beyond the state's rewrite follows the
-delta: joins probe the state with delta rows, grouped operators touch only the delta's keys.
+State lives in checkpointed segments (shared folder): a step adds its change, and segments are
+merged by levels, so neither plans nor rewriting grow with the number of steps. Linear operators
+need none. Joins probe the state with delta rows; grouped operators touch only the delta's keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,23 +19,54 @@ from deltaweave.operators.zframe import Condition, W, ZFrame, as_column
 from deltaweave.session import cut
 
 
+class Segments:
+    """State as a log of checkpointed segments, merged by levels of ``fan`` segments.
+
+    A step writes its change only; a row is rewritten once a level, so the work of keeping the
+    state follows the changes, not the table. Readers take the union of all segments.
+    """
+
+    def __init__(self, merge: Callable[[DataFrame], DataFrame], fan: int = 8) -> None:
+        self.merge, self.fan = merge, fan
+        self.levels: list[list[DataFrame]] = [[]]
+
+    def append(self, change: DataFrame) -> None:
+        self.levels[0].append(cut(change))
+        k = 0
+        while len(self.levels[k]) > self.fan:
+            merged = cut(self.merge(reduce(DataFrame.unionByName, self.levels[k])))
+            self.levels[k] = []
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[k + 1].append(merged)
+            k += 1
+
+    def all(self) -> DataFrame | None:
+        held = [s for level in self.levels for s in level]
+        return reduce(DataFrame.unionByName, held) if held else None
+
+
 class Integral:
-    """The sum of all deltas so far (operator I); ``previous`` is the sum before this step."""
+    """The sum of all deltas so far (operator I). ``state`` is it unconsolidated."""
 
-    def __init__(self, initial: ZFrame | None = None) -> None:
-        self.initial = initial
+    def __init__(self) -> None:
         self.reset()
 
     def reset(self) -> None:
-        self.state = self.initial
+        self.segments = Segments(lambda df: ZFrame(df).consolidate().df)
+
+    @property
+    def state(self) -> ZFrame | None:
+        held = self.segments.all()
+        return None if held is None else ZFrame(held)
 
     def step(self, delta: ZFrame) -> ZFrame:
-        summed = delta if self.state is None else self.state.add(delta)
-        self.state = ZFrame(cut(summed.consolidate().df))
-        return self.state
+        self.segments.append(delta.consolidate().df)
+        return self.state.consolidate()
 
     def before(self, delta: ZFrame) -> ZFrame:
-        return self.state if self.state is not None else delta.empty()
+        """The sum before this step (to be called before ``step``)."""
+        return self.state or delta.empty()
 
 
 class Differential:
@@ -177,7 +209,9 @@ class ByKey:
             touched = own if touched is None else touched.union(own)
         touched = cut(touched.distinct())
         olds = [i.before(d) for i, d in zip(self.integrals, deltas, strict=True)]
-        news = [i.step(d) for i, d in zip(self.integrals, deltas, strict=True)]
+        for i, d in zip(self.integrals, deltas, strict=True):
+            i.step(d)
+        news = [i.state for i in self.integrals]
         before, after = (self.query(*(self._restrict(s, touched, k) for s, k in zip(states, self.keys, strict=True))) for states in (olds, news))
         return ZFrame(cut(after.subtract(before).consolidate().df))
 
@@ -186,7 +220,7 @@ class ByKey:
         on = F.lit(True)
         for i, k in enumerate(keys):
             on = on & state.df[k].eqNullSafe(touched[f"_k{i}"])
-        return ZFrame(state.df.join(touched, on, "left_semi"))
+        return ZFrame(state.df.join(touched, on, "left_semi")).consolidate()
 
     def reset(self) -> None:
         for i in self.integrals:
@@ -230,9 +264,9 @@ def top_k(keys: Keys, order: Sequence[Column], k: int) -> ByKey:
 class GroupSums:
     """COUNT, SUM and AVG by key from mergeable partials.
 
-    The state has a row a key: total weight, and for each measure the sum and the weight of its
-    non-null values, so SUM is null exactly when no non-null value is left. Only touched keys
-    are merged; each whose row changed gives the old row with weight -1 and the new with +1.
+    The state holds partials by key: total weight, and for each measure the sum and the weight
+    of its non-null values, so SUM is null exactly when no non-null value is left. Partials add
+    up, so a step just appends its own. Only touched keys are summed; each whose row changed gives the old row with weight -1 and the new with +1.
     """
 
     def __init__(self, keys: Keys, **measures: tuple[str, Condition | None]) -> None:
@@ -240,7 +274,13 @@ class GroupSums:
         self.reset()
 
     def reset(self) -> None:
-        self.state: DataFrame | None = None
+        self.segments = Segments(self._summed)
+
+    def _summed(self, partials: DataFrame) -> DataFrame:
+        """One row a key; keys without rows vanish."""
+        measures = [c for c in partials.columns if c not in self.keys]
+        out = partials.groupBy(*self.keys).agg(*(F.sum(m).cast(partials.schema[m].dataType).alias(m) for m in measures))
+        return out.where(F.col("_n") != 0)
 
     def _partials(self, delta: ZFrame) -> DataFrame:
         parts = [F.sum(W).alias("_n")]
@@ -267,21 +307,11 @@ class GroupSums:
 
     def step(self, delta: ZFrame) -> ZFrame:
         change = cut(self._partials(delta))
-        measures = [c for c in change.columns if c not in self.keys]
-        if self.state is None:
-            old, rest = change.limit(0), change.limit(0)
-        else:
-            old = _touching(self.state, change, self.keys)
-            known = change.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)))
-            on = F.lit(True)
-            for i, k in enumerate(self.keys):
-                on = on & self.state[k].eqNullSafe(known[f"_k{i}"])
-            rest = self.state.join(known, on, "left_anti")
-        merged = old.unionByName(change).groupBy(*self.keys).agg(*(F.sum(m).cast(change.schema[m].dataType).alias(m) for m in measures))
-        merged = cut(merged)
-        out = self._rows(merged, 1).unionByName(self._rows(old, -1))
-        out = ZFrame(cut(ZFrame(out).consolidate().df))
-        self.state = cut(rest.unionByName(merged.where(F.col("_n") != 0)))
+        state = self.segments.all()
+        old = change.limit(0) if state is None else self._summed(_touching(state, change, self.keys))
+        new = self._summed(old.unionByName(change))
+        out = ZFrame(cut(ZFrame(self._rows(new, 1).unionByName(self._rows(old, -1))).consolidate().df))
+        self.segments.append(change)
         return out
 
 

@@ -8,13 +8,14 @@ id, so a batch that is run twice writes the same generation again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from deltaweave.operators.zframe import ZFrame
-from deltaweave.plans.circuit import Circuit
+from deltaweave.plans.circuit import Circuit, Collected, View
 
 
 def keep_newest(batch: DataFrame, seq: str, capacity: int) -> DataFrame:
@@ -56,23 +57,33 @@ def in_batches(source: DataFrame, process: Callable[[DataFrame, int], None], che
 
 
 class MaintainedViews:
-    """A circuit fed by one streaming table; many views share each batch's delta.
+    """A circuit fed by streaming tables; many views share each batch's delta.
 
-    After each batch every view's current rows are written under ``target/view/batch=id`` and
-    its delta under ``target/view_delta/batch=id``; readers take the newest generation. A batch
-    id that was already applied is not applied again.
+    After each batch every view's current rows are written under ``target/view/batch=step`` and
+    its delta under ``target/view_delta/batch=step``; readers take the newest generation. A
+    batch id that a table has already applied is not applied again. Tables may be fed by
+    queries of their own: their batches take turns.
     """
 
     def __init__(self, circuit: Circuit, table: str, to_delta: Callable[[DataFrame], ZFrame] | None = None, target: str | None = None) -> None:
-        from deltaweave.plans.circuit import Collected
-
-        self.circuit, self.table, self.to_delta, self.target = circuit, table, to_delta or ZFrame.of, target
+        self.circuit, self.target = circuit, target
         self.views: dict[str, Collected] = {}
-        self.applied = -1
+        self.applied: dict[str, int] = {}
+        self.turn = Lock()
+        self.process = self.feed(table, to_delta)
+
+    def feed(self, table: str, to_delta: Callable[[DataFrame], ZFrame] | None = None) -> Callable[[DataFrame, int], None]:
+        """The function of (batch, batch_id) that takes this table's batches."""
 
-    def view(self, name: str, handle) -> None:
-        from deltaweave.plans.circuit import Collected
+        def process(batch: DataFrame, batch_id: int) -> None:
+            with self.turn:
+                if batch_id > self.applied.get(table, -1):
+                    self.circuit.step({table: (to_delta or ZFrame.of)(batch)})
+                    self.applied[table] = batch_id
 
+        return process
+
+    def view(self, name: str, handle: View) -> None:
         self.views[name] = sink = Collected()
 
         def deliver(delta: ZFrame) -> None:
@@ -83,11 +94,6 @@ class MaintainedViews:
 
         handle.output(deliver)
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id > self.applied:
-            self.circuit.step({self.table: self.to_delta(batch)})
-            self.applied = batch_id
-
     def current(self, name: str) -> ZFrame | None:
         return self.views[name].table
 

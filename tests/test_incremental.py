@@ -155,3 +155,12 @@ def test_chain_rule(spark):
     for step in ([(1, 1), (2, 2)], [(3, 1), (2, -2)], [(1, -1)]):
         delta = z(spark, step)
         assert whole.step(delta).equals(second.step(first.step(delta)))
+
+
+def test_segments_merge_by_levels(spark):
+    integral = inc.Integral()
+    integral.segments.fan = 2
+    for k in range(8):
+        integral.step(z(spark, [(k % 3, 1), (9, 1 if k % 2 == 0 else -1)]))
+    assert [len(level) for level in integral.segments.levels] == [2, 2]
+    assert entries(integral.state) == {0: 3, 1: 3, 2: 2}

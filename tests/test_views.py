@@ -171,3 +171,40 @@ def test_stream_join_within_interval(spark, tmp_path):
     joined = interval_join(left, right, ("l", "r"), ("l_ts", "r_ts"), "40 SECONDS", "1 hour")
     joined.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == 5
+
+
+def test_two_streams_keep_a_join(spark, tmp_path):
+    from deltaweave.sources.feeds import change_feed, dump, file_stream, load, snapshot_then_changes
+    from deltaweave.streaming.progress import Progress
+
+    dump(frame(spark, [(1, "a"), (2, "b")]), str(tmp_path / "names"))
+    dump(spark.createDataFrame([(1, 5), (1, 6), (3, 7)], "k long, n long"), str(tmp_path / "numbers"), "parquet")
+    assert load(spark, str(tmp_path / "names"), KEYED).count() == 2
+    listener = Progress()
+    spark.streams.addListener(listener)
+    circuit = Circuit(spark)
+    names, numbers = circuit.input("names", KEYED), circuit.input("numbers", "k long, n long")
+    kept = MaintainedViews(circuit, "names")
+    kept.view("joined", names.join(numbers, "id", "k", select=["v", "n"]))
+    first = in_batches(file_stream(spark, str(tmp_path / "names"), KEYED, "json"), kept.process, str(tmp_path / "c1"))
+    second = in_batches(file_stream(spark, str(tmp_path / "numbers"), "k long, n long"), kept.feed("numbers"), str(tmp_path / "c2"))
+    first.awaitTermination()
+    second.awaitTermination()
+    assert rows(kept.current("joined")) == [("a", 5), ("a", 6)]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.streams.removeListener(listener)
+    assert listener.stats(first.id)["rows"] == 2 and listener.stats("none")["batches"] == 0
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "1.json").write_text('{"op":"update","seq":9,"row":{"id":2,"v":"B"}}\n{"op":"delete","seq":10,"row":{"id":1}}\n')
+    got = []
+    in_batches(change_feed(spark, str(tmp_path / "feed"), KEYED), lambda b, _: got.extend(b.collect()), str(tmp_path / "c3")).awaitTermination()
+    log = snapshot_then_changes(frame(spark, [(1, "a"), (2, "b")]), spark.createDataFrame(got, "op string, seq long, id long, v string"))
+    assert sorted(map(tuple, current_rows(log, "id", "op", "seq").collect())) == [(2, "B")]
+
+
+def test_observed_counts(spark):
+    from deltaweave.operators.joins import observed
+
+    table, seen = observed(z(spark, [((1, "a"), 3), ((2, "b"), -1)], KEYED), "t")
+    table.df.collect()
+    assert seen.get == {"rows": 2, "weight": 2}
