@@ -5,7 +5,9 @@ runs inside it, so equal windows have equal anchors, and a document has few dist
 one sketches, per partition, how many documents hold each anchor; the merged sketch
 overestimates the count of every window. Pass two hashes (128 bits) only the windows whose
 anchor is estimated to occur in two documents or more and groups them exactly; a true repeat is
-never left out. Before that shuffle each task settles what it can: of equal windows it has
+never left out. A sketch larger than the broadcast's bound is not built: then the anchors' documents
+are counted by a shuffle, and each document is joined with its own repeated anchors instead.
+Before that shuffle each task settles what it can: of equal windows it has
 seen, only those of the smallest document travel, so a passage held by a third of all documents
 is one row a task.
 """
@@ -43,8 +45,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def sketch_bits(text_bytes: int) -> int:
-    """log2 of a sketch row's cells: about eight for each anchor expected, within bounds."""
-    return int(np.clip(int(text_bytes / 15 + 1).bit_length(), LEAST_BITS, MOST_BITS))
+    """log2 of a sketch row's cells: about eight for each anchor expected."""
+    return max(LEAST_BITS, int(text_bytes / 15 + 1).bit_length())
 
 
 def _anchored(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,13 +144,32 @@ def _suspected(anchors: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray
 _WINDOW_FIELDS = "h1 long, h2 long, id long, sig long, span long, settled boolean"
 
 
-def _suspect_windows(docs: DataFrame, sketch: np.ndarray, bits: int, width: int) -> DataFrame:
+def with_repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
+    """``id, sig, text, anchors``: documents that hold anchors which other documents hold too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(2)):
+                _, _, owners, anchors = _anchored(block, width)
+                order = np.lexsort((anchors, owners))
+                a, o = anchors[order], owners[order]
+                new = np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])] if len(a) else np.zeros(0, dtype=bool)
+                rows = pa.array(block.first + o[new])
+                yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "id", "sig"])
+
+    held = docs.mapInArrow(run, "a long, id long, sig long")
+    shared = held.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a")
+    own = held.join(shared, "a").groupBy("id", "sig").agg(F.collect_set("a").alias("anchors"))
+    return docs.join(own, ["id", "sig"]).select("id", "sig", "text", "anchors")
+
+
+def _suspect_windows(docs: DataFrame, sketch: np.ndarray | None, bits: int, width: int) -> DataFrame:
     """Windows to group exactly; ``settled`` ones are known to have a smaller document.
 
     ``span`` is the first window's start times 2**32 plus the number of consecutive windows
-    (one, unless settled).
+    (one, unless settled). Without a sketch, ``docs`` has a column of each one's repeated anchors.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = None if sketch is None else docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -179,7 +200,14 @@ def _suspect_windows(docs: DataFrame, sketch: np.ndarray, bits: int, width: int)
             ids, sigs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(2)):
                 hashes, starts, owners, anchors = _anchored(block, width)
-                hit = np.flatnonzero(_suspected(anchors, shared.value, bits)) if len(anchors) else []
+                if not len(anchors):
+                    hit = []
+                elif shared is not None:
+                    hit = np.flatnonzero(_suspected(anchors, shared.value, bits))
+                else:
+                    own = batch.column(3).slice(block.first, block.rows)
+                    known = mix(np.array(own.flatten()).view(np.uint64) ^ mix(np.repeat(np.arange(block.rows), own.value_lengths()).astype(np.uint64), 9), 9)
+                    hit = np.flatnonzero(np.isin(mix(anchors ^ mix(owners.astype(np.uint64), 9), 9), known))
                 if len(hit):
                     # window positions in the flat word array, to hash them
                     found = words(block)
@@ -202,7 +230,10 @@ def repeated_starts(docs: DataFrame, width: int, id_col: str, text_col: str) ->
     keyed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("sig"), F.col(text_col).cast("string").alias("text"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(total)
-    suspects = _suspect_windows(keyed, merged_sketch(keyed, bits, width), bits, width)
+    if bits <= MOST_BITS:
+        suspects = _suspect_windows(keyed, merged_sketch(keyed, bits, width), bits, width)
+    else:
+        suspects = _suspect_windows(with_repeated_anchors(keyed, width), None, bits, width)
     least = F.min("id").over(Window.partitionBy("h1", "h2"))
     gone = suspects.withColumn("least", least).where(F.col("settled") | (F.col("id") > F.col("least")))
     return gone.groupBy("id", "sig").agg(F.collect_list("span").alias("spans"))

@@ -124,9 +124,10 @@ def passages(seed=1, count=60):
     return [*out, out[3], out[3], None, "", "x " * 200, "x " * 90]
 
 
-@pytest.mark.parametrize("held", [substring_dedup.HELD, 50])
-def test_dedup_equals_brute_force(spark, monkeypatch, held):
+@pytest.mark.parametrize(("held", "bits"), [(substring_dedup.HELD, substring_dedup.MOST_BITS), (50, substring_dedup.MOST_BITS), (50, 0)])
+def test_dedup_equals_brute_force(spark, monkeypatch, held, bits):
     monkeypatch.setattr(substring_dedup, "HELD", held)
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", bits)  # 0: the way without a sketch
     texts = passages()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(frame(spark, texts, 5)).collect()}
     assert got == dict(enumerate(brute_dedup(texts, 50)))
