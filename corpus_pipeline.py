@@ -31,10 +31,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id; rows without id stay."""
     groups = ngram_join.join_components(docs)
-    stay = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_stays"], "left_semi")
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
