@@ -69,6 +69,31 @@ def test_divergence_keeps_prose_and_rejects_junk(spark):
     assert all(got[k][0].base_failed and not got[k][0].kept for k in (102, 103, 104))
 
 
+def test_word_limit_grows_as_length_falls():
+    limit = quality_rules.Limits().word_limit(np.array([0, 50, 100, 199, 200, 20000]))
+    assert (np.diff(limit[1:5]) < 0).all() and limit[4] == limit[5] == 0.25 and np.isfinite(limit).all()
+
+
+def test_short_junk_is_rejected(spark):
+    rng = random.Random(2)
+    letters = lambda k: "".join(rng.choice("etaoinshrdlu") for _ in range(k))
+    rows = [(k, " ".join(letters(rng.randint(3, 7)) for _ in range(n)) + ".", None, None) for k, n in ((201, 120), (202, 199), (203, 300))]
+    prose = [(300 + n, " ".join(rng.choices(PROSE.split() + [f"word{k}" for k in range(150)], k=n)) + ".", None, None) for n in (60, 120, 199)]
+    refs = quality_rules.references(corpus(spark))
+    got = {r.doc_id: r for r in quality_rules.judge(frame(spark, rows + prose), refs, quality_rules.Limits(characters=1)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[k].kept for k, *_ in rows) and all(got[k].kept for k, *_ in prose)
+
+
+def test_quality_rules_on_held_out_labels(spark):
+    """The word limits were chosen without this fold."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where(queries.fold("doc_id", 4) == 2)
+    judged = quality_rules.judge(docs.join(held.select("doc_id"), "doc_id", "left_semi"), quality_rules.references(docs))
+    got = judged.where("NOT base_failed").join(held, "doc_id").select("kept", "quality").toPandas()
+    assert got[got.quality == 0].kept.mean() < 0.1 and got[got.quality == 1].kept.mean() > 0.99
+
+
 def test_columns_that_clash_stay(spark):
     docs = corpus(spark).drop("_quality")
     judged = quality_rules.judge(docs, keep_columns=True)
