@@ -273,8 +273,18 @@ def join_filter_map(spark, sf):
 @query("join_null_keys", "SELECT count(*) AS n FROM (SELECT nullif(o_orderstatus, 'O') AS a, o_orderkey FROM orders WHERE o_orderkey % 50 = 0) JOIN (SELECT nullif(o_orderstatus, 'O') AS b FROM orders WHERE o_orderkey % 70 = 0) ON a = b")
 def join_null_keys(spark, sf):
     orders = table(spark, sf, "orders")
+    return _status_pairs(orders.where("o_orderkey % 50 = 0"), orders.where("o_orderkey % 70 = 0"))
+
+
+@query("join_null_keys_all", "SELECT CAST(sum(n * n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_orderstatus)")
+def join_null_keys_all(spark, sf):
+    """All orders with all orders; the SQL need not make the pairs."""
+    return _status_pairs(table(spark, sf, "orders"), table(spark, sf, "orders"))
+
+
+def _status_pairs(left, right):
     status = F.nullif(F.col("o_orderstatus"), F.lit("O"))
-    a, b = (ZFrame.of(orders.where(f"o_orderkey % {m} = 0").select(status.alias(n))).consolidate() for m, n in ((50, "a"), (70, "b")))
+    a, b = (ZFrame.of(orders.select(status.alias(n))).consolidate() for orders, n in ((left, "a"), (right, "b")))
     return joins.join(a, b, "a", "b").reduce(weighted_count().alias("n"))
 
 
