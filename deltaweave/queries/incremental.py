@@ -87,17 +87,18 @@ def incr_anti(spark, sf):
     return run_steps(inc.anti_join("o_custkey", "c_custkey"), _orders(spark, sf, "o_custkey"), customers).bag()
 
 
-def _outer(how):
+def _outer(how, which="true"):
     def run(spark, sf):
         customers = [d.filter("c_acctbal > 0").map("c_custkey", "c_mktsegment") for d in _customers(spark, sf, "c_acctbal", "c_mktsegment")]
-        orders = [d.filter("o_orderkey % 4 = 0").map("o_orderkey", "o_custkey") for d in _orders(spark, sf, "o_custkey")]
+        orders = [d.filter(which).map("o_orderkey", "o_custkey") for d in _orders(spark, sf, "o_custkey")]
         return run_steps(inc.outer_join("o_custkey", "c_custkey", how), orders, customers).map("o_orderkey", "c_custkey", "c_mktsegment").bag()
 
     return run
 
 
 for _how in ("left", "right", "full"):
-    query(f"incr_{_how}", f"SELECT o_orderkey, c_custkey, c_mktsegment FROM (SELECT * FROM {_O} WHERE o_orderkey % 4 = 0) {_how.upper()} JOIN (SELECT * FROM {_C} WHERE c_acctbal > 0) ON o_custkey = c_custkey")(_outer(_how))
+    query(f"incr_{_how}", f"SELECT o_orderkey, c_custkey, c_mktsegment FROM (SELECT * FROM {_O} WHERE o_orderkey % 4 = 0) {_how.upper()} JOIN (SELECT * FROM {_C} WHERE c_acctbal > 0) ON o_custkey = c_custkey")(_outer(_how, "o_orderkey % 4 = 0"))
+    query(f"incr_{_how}_all", f"SELECT o_orderkey, c_custkey, c_mktsegment FROM {_O} {_how.upper()} JOIN (SELECT * FROM {_C} WHERE c_acctbal > 0) ON o_custkey = c_custkey")(_outer(_how))
 
 
 @query("incr_group_sums", f"SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS s, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, count(p) AS n_known, CAST(sum(CAST(p AS DECIMAL(18,2))) AS DOUBLE) AS s_known FROM (SELECT *, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS p FROM {_O}) GROUP BY 1")

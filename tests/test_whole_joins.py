@@ -2,11 +2,15 @@
 
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from deltaweave.queries import QUERIES
 
 
 def test_null_keys_join_all_orders(spark, sf_dir):
     status = Counter(r.o_orderstatus for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus").collect())
     assert QUERIES["join_null_keys_all"](spark, sf_dir).first().n == sum(n * n for s, n in status.items() if s not in ("O", None))
+
+
+def test_incremental_outer_join_passes_all_orders(spark, sf_dir):
+    """All but those that the last step takes back."""
+    keys = lambda df: {r.o_orderkey for r in df.where("o_orderkey IS NOT NULL").select("o_orderkey").collect()}
+    assert keys(QUERIES["incr_full_all"](spark, sf_dir)) == keys(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 <> 5"))
