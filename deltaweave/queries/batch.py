@@ -215,29 +215,37 @@ def join_weighted_revenue(spark, sf):
     return joined.df.groupBy("c_mktsegment").agg(weighted_count().alias("n"), weighted_sum(cents("o_totalprice")).cast("double").alias("revenue"))
 
 
-def _docs(spark, sf):
+def _docs(spark, sf, which="true"):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("l_doc_id"), "quality")
-    return ZFrame.of(docs.where("doc_id % 3 <> 0")), ZFrame.of(labels)
+    return ZFrame.of(docs.where(which)), ZFrame.of(labels)
 
 
-_DOCS, _LABELS = "(SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0)", "(SELECT doc_id AS l_doc_id, quality FROM labels)"
+#: Without a third of the documents, so that labels are left without one; the queries named _all join all.
+_SOME = "doc_id % 3 <> 0"
+_DOCS, _LABELS = f"(SELECT doc_id, lang FROM documents WHERE {_SOME})", "(SELECT doc_id AS l_doc_id, quality FROM labels)"
 
 
 @query("join_inner", f"SELECT doc_id, lang, quality FROM {_DOCS} JOIN {_LABELS} ON doc_id = l_doc_id")
 def join_inner(spark, sf):
+    return joins.join(*_docs(spark, sf, _SOME), "doc_id", "l_doc_id").map("doc_id", "lang", "quality").bag()
+
+
+@query("join_inner_all", f"SELECT doc_id, lang, quality FROM documents JOIN {_LABELS} ON doc_id = l_doc_id")
+def join_inner_all(spark, sf):
     return joins.join(*_docs(spark, sf), "doc_id", "l_doc_id").map("doc_id", "lang", "quality").bag()
 
 
-def _outer(how):
+def _outer(how, which="true"):
     def run(spark, sf):
-        return joins.outer_join(*_docs(spark, sf), "doc_id", "l_doc_id", how).map("doc_id", "lang", "l_doc_id", "quality").bag()
+        return joins.outer_join(*_docs(spark, sf, which), "doc_id", "l_doc_id", how).map("doc_id", "lang", "l_doc_id", "quality").bag()
 
     return run
 
 
 for _how in ("left", "right", "full"):
-    query(f"join_{_how}", f"SELECT doc_id, lang, l_doc_id, quality FROM {_DOCS} {_how.upper()} JOIN {_LABELS} ON doc_id = l_doc_id")(_outer(_how))
+    query(f"join_{_how}", f"SELECT doc_id, lang, l_doc_id, quality FROM {_DOCS} {_how.upper()} JOIN {_LABELS} ON doc_id = l_doc_id")(_outer(_how, _SOME))
+    query(f"join_{_how}_all", f"SELECT doc_id, lang, l_doc_id, quality FROM documents {_how.upper()} JOIN {_LABELS} ON doc_id = l_doc_id")(_outer(_how))
 
 
 @query("join_cross", "SELECT r_name, c_mktsegment, count(*) AS weight FROM region CROSS JOIN customer GROUP BY 1, 2")
@@ -248,6 +256,11 @@ def join_cross(spark, sf):
 
 @query("join_semi", f"SELECT doc_id, lang FROM {_DOCS} WHERE doc_id IN (SELECT doc_id FROM labels)")
 def join_semi(spark, sf):
+    return joins.semi_join(*_docs(spark, sf, _SOME), "doc_id", "l_doc_id").bag()
+
+
+@query("join_semi_all", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def join_semi_all(spark, sf):
     return joins.semi_join(*_docs(spark, sf), "doc_id", "l_doc_id").bag()
 
 
