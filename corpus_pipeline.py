@@ -50,8 +50,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 tokens."""
-    return packing.digests(packing.pack(docs, tokenizer_file("byte_bpe_50k.json")))
+    """Pieces of all documents in sequences of 1024 tokens: their token ids, and the CRC-32 of these."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

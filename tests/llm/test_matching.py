@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -265,3 +266,12 @@ def test_pipeline_by_brute_force(spark):
     assert left[3].text == " ".join(rows[3][1].split()[60:]) and left[3].n_chars == len(left[3].text) and left[2].text == rows[2][1]
     assert "[secret]" in seen["secrets"][4].text and "abcdefgh99" not in seen["secrets"][4].text
     assert {p.doc_id for p in pieces} == {0, 2, 3, 4, 7} and all(p.offset + p.length <= 1024 for p in pieces)
+
+
+def test_pipeline_product_holds_the_token_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = ["some words of prose", "of another document\n"]
+    pieces = pipeline.packed(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    for r in pieces:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+    assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values()) > 0
