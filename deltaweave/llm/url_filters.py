@@ -55,7 +55,7 @@ PATTERN_RULES = (
     *(_joined(a, b) for a, b in (("casino", "win"), ("free", "bets"), ("cheap", "pills"), ("spam", "farm"), ("ads", "track"), ("xxx", "cams"), ("payday", "loans"))),
     PatternRule("redirect", r"[?&]redirect=https?(:|%3a)", ("redirect",)),
     PatternRule("session-id", r"[?&]phpsessid=[0-9a-f]{16}", ("phpsessid",)),
-    PatternRule("click-track", r"/click/track\.php", ("click", "track", "php")),
+    PatternRule("click-track", r"/click/track\.php", ("click", "track")),  # php may go on: .php5
 )
 
 

@@ -202,3 +202,9 @@ def test_matches_hold_their_tokens_and_the_index_finds_them():
             rule = filters.matched(url)
             assert rule is not None and all(t in re.findall("[a-z0-9]+", url) for t in rule.tokens)
     assert filters.matched("http://example.com/casinos/win") is None
+
+
+def test_click_track_does_not_depend_on_counts():
+    for counts in ({"click": 9, "track": 9, "php": 3}, {"click": 1, "track": 9, "php": 30}):
+        filters = url_filters.Filters(url_filters.LIST_RULES, url_filters.PATTERN_RULES, counts)
+        assert all((m := filters.matched(f"http://a/click/track.{x}")) and m.name == "click-track" for x in ("php", "php5", "phpx?y"))
