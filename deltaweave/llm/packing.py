@@ -11,6 +11,7 @@ default block is far below one percent of its tokens.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,20 +78,34 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 _ENCODERS: dict[str, ChunkStore] = {}
+#: Chunks of more bytes go to the tokenizer's own library, whose time and stack do not grow
+#: faster than the chunk.
+LONG_CHUNK = 512
 
 
 def encoder(path: str) -> ChunkStore:
-    """A worker's store of encoded chunks for a byte-level BPE ``tokenizer.json``."""
+    """A worker's store of encoded chunks for a byte-level BPE ``tokenizer.json``.
+
+    Chunks of one word are put together and split again by the sizes of their tokens; all others
+    (long ones, ones that hold a special token's string, white space or line ends) are encoded
+    one by one by the library of the file, as it stands.
+    """
     if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
+        from tokenizers import Tokenizer
 
+        library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)["model"]
+            spec = json.load(file)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-        special = {"<|endoftext|>"}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["vocab"].items() if token not in special}
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        if any(any(c.isspace() for c in t) for t in special):
+            raise ValueError("special tokens with white space inside are not supported")
+        marks = [t.encode() for t in special]
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         codec = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
@@ -98,20 +113,21 @@ def encoder(path: str) -> ChunkStore:
 
         def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             # chunks that begin with a space and end in print do not touch when put together
-            regular = np.fromiter((c[0] == 32 and 32 < c[-1] < 127 for c in chunks), dtype=bool, count=len(chunks))
+            regular = np.fromiter((c[0] == 32 and 32 < c[-1] < 127 and len(c) <= LONG_CHUNK and not any(m in c for m in marks) for c in chunks), dtype=bool, count=len(chunks))
             joined = b"".join(c for c, r in zip(chunks, regular.tolist(), strict=True) if r)
             flat = codec.encode_to_numpy(joined.decode("utf-8")).astype(np.int32) if joined else np.zeros(0, dtype=np.int32)
             sizes = np.zeros(len(chunks), dtype=np.int64)
             ends = np.cumsum(np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))[regular])
             sizes[regular] = np.diff(np.r_[0, np.searchsorted(np.cumsum(lengths[flat]), ends) + 1]) if len(ends) else 0
-            rest = {int(i): codec.encode_ordinary(chunks[i].decode("utf-8")) for i in np.flatnonzero(~regular)}
-            if not rest:
+            odd = np.flatnonzero(~regular)
+            if not len(odd):
                 return flat, sizes
-            sizes[list(rest)] = [len(x) for x in rest.values()]
+            rest = [e.ids for e in library.encode_batch_fast([chunks[i].decode("utf-8") for i in odd], add_special_tokens=False)]
+            sizes[odd] = [len(x) for x in rest]
             out = np.zeros(int(sizes.sum()), dtype=np.int32)
             own = np.repeat(regular, sizes)
             out[own] = flat
-            out[~own] = np.fromiter((i for x in rest.values() for i in x), dtype=np.int32)
+            out[~own] = np.fromiter((i for x in rest for i in x), dtype=np.int32)
             return out, sizes
 
         _ENCODERS[path] = ChunkStore(encode)
@@ -144,8 +160,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """Pieces of all documents: id, ``start``, ``length``, ``ids`` (little-endian unsigned
     32-bit, binary), ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    A null or empty text is the end id alone. Strings of special tokens in a text are ordinary
-    text. Rows with equal ids are packed separately; an empty table gives no pieces; other
+    Ids are those of the ``tokenizers`` library with the file as it stands and without added
+    special tokens, so the string of a special token in a text becomes that token. A null or
+    empty text is the end id alone; texts of any length are cut, never shortened. Rows with equal ids are packed separately; an empty table gives no pieces; other
     columns are dropped. ``tokenizer_path`` must be readable on every executor.
     """
     kind = docs.schema[id_col].dataType

@@ -4,13 +4,15 @@ A text is cut before each run of spaces; no piece of a fitting model crosses suc
 the chunks ("words") merge independently. All new distinct words of a block lie in one flat
 symbol array. A round finds each word's smallest pair rank (segmented minimum), merges there
 (all non-overlapping occurrences from the left, or the leftmost only where a merge could open
-a pair of no higher rank), and compacts the arrays; words without a pair leave. Remaining
-symbols outside the vocabulary become byte pieces. Text and ids equal the library's.
+a pair of no higher rank), and compacts the arrays; words without a pair leave. In words longer
+than a piece, pairs of the smallest rank within a piece's reach merge in the same round: what
+merges before them lies in pieces that cannot touch them, so a long word takes no more rounds
+than its neighbourhoods do. Remaining symbols outside the vocabulary become byte pieces. Text
+and ids equal the library's.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,18 @@ from deltaweave.llm.kernel import ChunkStore, blocks
 
 SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
-#: Rounds after which a word is finished by the scalar agenda instead (very long words).
-MAX_ROUNDS = 400
+
+
+def _least_around(values: np.ndarray, reach: int) -> np.ndarray:
+    """The smallest value at most ``reach`` places from each place."""
+    width, out = 2 * reach + 1, np.full(len(values) + 2 * reach, NO_RANK, dtype=values.dtype)
+    out[reach : reach + len(values)] = values
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        span += step
+    return out
 
 
 class PieceModel:
@@ -67,6 +79,7 @@ class PieceModel:
                         if part < self.size and ranks[i] <= ranks[part]:
                             unsafe[part] = True
         self.pairs, self.ranks, self.unsafe = pairs, ranks, unsafe
+        self.longest = max(map(len, normal), default=1)
         self._hash_table()
         parts = [b"" if self.special[i] else bytes([int(p[3:5], 16)]) if self.is_byte[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         parts[self.unk] = " ⁇ ".encode()
@@ -113,7 +126,6 @@ class PieceModel:
         done_word, done_symbol, done_order = [], [], []
         word = np.repeat(np.arange(len(texts)), sizes)
         order = np.arange(len(symbols))
-        rounds = 0
         while len(symbols) > 1:
             made = np.full(len(symbols), -1, dtype=np.int32)
             made[:-1] = self.merged(symbols[:-1], symbols[1:])
@@ -132,23 +144,17 @@ class PieceModel:
                 if not len(symbols):
                     break
                 starts = np.cumsum(lengths) - lengths
-            if (rounds := rounds + 1) > MAX_ROUNDS:
-                for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-                    kept, out = self._agenda(symbols[a : a + n].tolist())
-                    done_word.append(word[a : a + len(out)])
-                    done_symbol.append(np.array(out, dtype=np.int32))
-                    done_order.append(order[a : a + n][kept])
-                symbols = symbols[:0]
-                word, order = word[:0], order[:0]
-                break
-            at = np.flatnonzero(rank == np.repeat(least, lengths))
+            lowest = rank == np.repeat(least, lengths)
+            at = np.flatnonzero(lowest)
             loose = self.unsafe[made[at]]
             owner = word[at]
             first = np.r_[True, owner[1:] != owner[:-1]]
-            adjacent = np.r_[False, (at[1:] == at[:-1] + 1) & ~first[1:]]
-            run = np.flatnonzero(~adjacent)
-            offset = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
-            at = at[np.where(loose, first, offset % 2 == 0)]
+            at = at[np.where(loose, first, self._from_the_left(at, made))]
+            if lengths.max() > self.longest:
+                near = (rank == _least_around(rank, self.longest)) & (rank != NO_RANK) & ~lowest
+                near[made >= 0] &= ~self.unsafe[made[made >= 0]]
+                also = np.flatnonzero(near & self._whole_runs(near, made))
+                at = np.sort(np.r_[at, also[self._from_the_left(also, made)]])
             symbols[at] = made[at]
             keep = np.ones(len(symbols), dtype=bool)
             keep[at + 1] = False
@@ -176,30 +182,21 @@ class PieceModel:
         ids[fill] = self.byte_ids[np.concatenate(spelled)]
         return ids.astype(np.int32), np.bincount(np.repeat(word, repeat), minlength=n_words)
 
-    def _agenda(self, symbols: list[int]) -> tuple[list[int], list[int]]:
-        """One word by a heap of (rank, position): kept positions and symbols."""
-        n = len(symbols)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i < n and (j := after[i]) < n and (m := self.pairs.get((symbols[i], symbols[j]))) is not None:
-                heapq.heappush(heap, (int(self.ranks[m]), i, symbols[i], symbols[j], m))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, left, right, made = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or symbols[i] != left or symbols[j] != right:
-                continue
-            symbols[i], alive[j], after[i] = made, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        kept = [i for i in range(n) if alive[i]]
-        return kept, [symbols[i] for i in kept]
+    @staticmethod
+    def _from_the_left(at: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Every other place of each run of neighbouring places that make the same piece."""
+        adjacent = np.r_[False, (at[1:] == at[:-1] + 1) & (made[at[1:]] == made[at[:-1]])][: len(at)]
+        run = np.flatnonzero(~adjacent)
+        offset = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+        return offset % 2 == 0
+
+    @staticmethod
+    def _whole_runs(chosen: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Where a run of neighbouring equal pairs is chosen as a whole: a part of one waits, as
+        the place where the run begins decides which of its pairs merge."""
+        same = np.r_[False, (made[1:] == made[:-1]) & (made[1:] >= 0)]
+        run = np.cumsum(~same) - 1
+        return ~np.bincount(run, weights=~chosen, minlength=int(run[-1]) + 1).astype(bool)[run]
 
     def decode_flat(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """Texts of id sequences ``ids[bounds[k]:bounds[k+1]]``."""
@@ -308,7 +305,8 @@ def encode_batch(texts: pa.Array, path: str, add_end: bool = True) -> Iterator[t
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:
     """``id_col``, ``ids`` array<int>, ``decoded`` string of every whole text; no shuffle.
 
-    A null or empty text gives only the end id (none without ``add_end``) and decodes to "".
+    Texts are encoded whole, whatever their length; words without spaces of any length merge by
+    the same rounds. A null or empty text gives only the end id (none without ``add_end``) and decodes to "".
     Other columns are dropped, so clashing names cannot occur; repeated rows stay repeated; an
     empty table gives an empty result. ``model_path`` must be readable on every executor.
     """

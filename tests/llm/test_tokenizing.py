@@ -58,13 +58,16 @@ def test_decoding_any_ids_equals_the_library():
         assert model.decode_flat(np.array(ids, dtype=np.int32), np.array([0, len(ids)]))[0].as_py() == library.decode(ids), ids
 
 
-def test_long_words_take_the_agenda(monkeypatch):
-    monkeypatch.setattr(sentencepiece_codec, "MAX_ROUNDS", 3)
+def test_words_without_spaces_of_any_length():
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     model = sentencepiece_codec.PieceModel(PIECES)
-    words = [" internationalisation", " abcabcabcabc", " zzzzzz", " a"]
+    rng = random.Random(11)
+    prose = "".join(rng.choice(["the", "ing", "quality", "Straße", "ab", "aa", "tion", "x", "zz", "\n", "漢"]) for _ in range(20_000))
+    words = [" " + "".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aab", "abcdefghijklmnopqrstuvwxyz", "etaoinshr", "0123456789abcdef", "aé漢\n") for n in (3, 17, 18, 40, 400, 4000) for _ in range(4)]
+    words += [" " + prose, " internationalisation", " abcabcabcabc", " zzzzzz", " a", " " + "a" * 100_001, " " * 777 + "x", " " + "=" * 5001, " " + "abc" * 9999]
     ids, sizes = model.encode_words([w.encode() for w in words])
-    assert [ids[e - s : e].tolist() for s, e in zip(sizes, np.cumsum(sizes), strict=True)] == [library.encode(w[1:]) for w in words]
+    for word, size, end in zip(words, sizes, np.cumsum(sizes), strict=True):
+        assert ids[end - size : end].tolist() == library.encode(word[1:]), word[:60]
 
 
 def test_store_survives_being_emptied():
@@ -79,8 +82,9 @@ def test_store_survives_being_emptied():
 
 def test_packing_covers_every_token_once(spark):
     tokenizer = tokenizers.Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
-    values = [*texts(), None, "twice", "twice"]
+    special = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> x <|endoftext|>\n", "a <|endof text|>  <|endoftext|><|endoftext|>.", "\n\n<|endoftext|>  y", "<|endoftext|" * 3 + ">"]
+    long = ["x" + " " * 1_200_000, "\n" * 300_000 + "y", "a " + "\t \n" * 200_000 + " b c", "q" * 300_000, "?!" * 100_000, "é" * 5000 + " x"]
+    values = [*texts(), None, "twice", "twice", *special, *long]
     want = {i: [*e.ids, 0] for i, e in enumerate(tokenizer.encode_batch([t or "" for t in values], add_special_tokens=False))}
     pieces = packing.digests(packing.pack(documents(spark, values), BYTES, block_tokens=4000)).collect()
     by_doc, by_sequence = {}, {}
