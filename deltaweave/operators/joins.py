@@ -8,6 +8,7 @@ keys of sort-merge joins.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -107,8 +108,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
     Both sides are united and sorted once a key, and the last right row seen is carried along:
     one shuffle, no range join. ``bucket`` may split a hot key further where the data allow it
     (an expression over both sides' time such that no match crosses buckets). Equal right times
-    are resolved by the largest ``take`` values.
+    are resolved by the largest ``take`` values. A null key or time matches nothing on either
+    side; left rows with one stay, with nulls, and are not shuffled.
     """
+    known = reduce(Column.__and__, (F.col(c).isNotNull() for c in (*keys, left_ts)))
+    lone, left = left.where(~known), left.where(known)
+    right = right.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in (*keys, right_ts))))
     payload = F.struct(F.col(right_ts).alias("_ts"), *(F.col(c) for c in take))
     a = left.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(left_ts).alias("_at"), F.lit(0 if forward else 1).alias("_side"), F.struct("*").alias("_left"))
     b = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(right_ts).alias("_at"), F.lit(1 if forward else 0).alias("_side"), payload.alias("_right"))
@@ -120,7 +125,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
     order = [F.desc("_at"), F.desc("_side"), F.asc("_right")] if forward else [F.asc("_at"), F.asc("_side"), F.asc("_right")]
     seen = F.last("_right", ignorenulls=True).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("_match", seen).where(F.col("_left").isNotNull())
-    return out.select("_left.*", *(F.col("_match").getField(c).alias(c) for c in take))
+    matched = out.select("_left.*", *(F.col("_match").getField(c).alias(c) for c in take))
+    return matched.union(lone.select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take)))
 
 
 def pruned_join(left: DataFrame, right: DataFrame, left_keys: Keys, right_keys: Keys, left_ts: str, right_ts: str, retention: str) -> DataFrame:

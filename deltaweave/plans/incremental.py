@@ -277,10 +277,11 @@ class GroupSums:
         self.segments = Segments(self._summed)
 
     def _summed(self, partials: DataFrame) -> DataFrame:
-        """One row a key; keys without rows vanish."""
+        """One row a key. Only keys whose every partial is zero vanish: a part of the log may hold a
+        key with weight 0 and a sum that other parts still need."""
         measures = [c for c in partials.columns if c not in self.keys]
         out = partials.groupBy(*self.keys).agg(*(F.sum(m).cast(partials.schema[m].dataType).alias(m) for m in measures))
-        return out.where(F.col("_n") != 0)
+        return out.where(reduce(Column.__or__, (F.coalesce(F.col(m), F.lit(0)) != 0 for m in measures)))
 
     def _partials(self, delta: ZFrame) -> DataFrame:
         parts = [F.sum(W).alias("_n")]

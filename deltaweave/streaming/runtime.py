@@ -38,9 +38,10 @@ def drop_stale(batch: DataFrame, ts: str, max_age: str, now: Column | None = Non
 
 
 def first_by_id(batch: DataFrame, message_id: str, seq: str) -> DataFrame:
-    """The first message of each id; messages without one all stay."""
-    order = Window.partitionBy(message_id).orderBy(seq)
-    return batch.withColumn("_n", F.row_number().over(order)).where(F.col(message_id).isNull() | (F.col("_n") == 1)).drop("_n")
+    """The first message of each id; messages without one all stay, where they are."""
+    known = batch.where(F.col(message_id).isNotNull())
+    first = known.groupBy(message_id).agg(F.min_by(F.struct("*"), seq).alias("_row")).select("_row.*")
+    return first.unionByName(batch.where(F.col(message_id).isNull()))
 
 
 def freshness(batch: DataFrame, ts: str, now: Column | None = None) -> DataFrame:
