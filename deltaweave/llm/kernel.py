@@ -10,7 +10,7 @@ where equality must hold across a whole corpus, callers pair two of them (128 bi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +38,14 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores added until no taken one equals it (as Spark compares names)."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 class _Powers:
     """Powers of the base and of its inverse, grown on demand."""
 

@@ -5,9 +5,9 @@ runs inside it, so equal windows have equal anchors, and a document has few dist
 one sketches, per partition, how many documents hold each anchor; the merged sketch
 overestimates the count of every window. Pass two hashes (128 bits) only the windows whose
 anchor is estimated to occur in two documents or more and groups them exactly; a true repeat is
-never left out. A sketch larger than the broadcast's bound is not built: then the anchors' documents
-are counted by a shuffle, and each document is joined with its own repeated anchors instead.
-Before that shuffle each task settles what it can: of equal windows it has
+never left out. The sketch is kept in blocks of cells, and grows with the text: up to a bound it
+is broadcast; beyond, its blocks stay distributed and each document's anchors are joined with
+their blocks. Before the exact grouping each task settles what it can: of equal windows it has
 seen, only those of the smallest document travel, so a passage held by a third of all documents
 is one row a task.
 """
@@ -24,12 +24,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaweave.llm.kernel import Block, Hasher, blocks, mix, per_row, window_owner_mask, windows, words
+from deltaweave.llm.kernel import Block, Hasher, blocks, fresh, mix, per_row, window_owner_mask, windows, words
 
 #: Anchor runs are this many words (or the whole window, if that is shorter).
 GRAM = 10
-#: Sketch rows; cells of one block; bounds of a row's cells, as powers of two.
-DEPTH, BLOCK_CELLS, LEAST_BITS, MOST_BITS = 2, 1 << 16, 18, 28
+#: Cells of an anchor, all in its block; cells of one depth of a block, and the fewest of one
+#: depth of a sketch, as powers of two.
+DEPTH, CELL_BITS, LEAST_BITS = 2, 16, 18
+#: Sketches of up to so many cells a depth are broadcast (64 MB); larger ones are joined by block.
+BROADCAST_BITS = 28
 #: Windows a task holds before it settles and emits them.
 HELD = 1_500_000
 
@@ -62,85 +65,122 @@ def _anchored(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return hashes, inside - found.bounds[owners], owners, anchors
 
 
-def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mix(anchors, 21 + d) >> np.uint64(64 - bits)).astype(np.int64) for d in range(DEPTH)]
+def _cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each anchor's block, and its cell at each depth of the block."""
+    block = (mix(anchors, 20) >> np.uint64(64 - (bits - CELL_BITS))).astype(np.int64)
+    return block, [(mix(anchors, 21 + d) >> np.uint64(64 - CELL_BITS)).astype(np.int64) + (d << CELL_BITS) for d in range(DEPTH)]
 
 
-def merged_sketch(docs: DataFrame, bits: int, width: int, text_col: str = "text") -> np.ndarray:
-    """DEPTH rows of bits: which cells have been hit by two documents or more.
+def _once_a_document(owners: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((anchors, owners))
+    o, a = owners[order], anchors[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])][: len(a)]
+    return o[new], a[new]
 
-    Partition sketches travel sparse, by block of cells; merged blocks return as bitmaps, in
-    all DEPTH * 2**bits / 8 bytes (64 MB at most).
+
+def merged_sketch(docs: DataFrame, bits: int, width: int, text_col: str = "text") -> DataFrame:
+    """``block, cells``: bitmaps of the cells that have been hit by two documents or more.
+
+    Partition sketches travel sparse, as lists of a block's cells hit once and more than once.
     """
-    per_depth = max(1, (1 << bits) // BLOCK_CELLS)
+    size = DEPTH << CELL_BITS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
+        held: list[np.ndarray] = []
         count = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            numbers, once, more = [], [], []
-            for d in range(DEPTH):
-                cells, n = np.unique(np.concatenate(held[d]), return_counts=True)
-                cuts = np.searchsorted(cells, np.arange(per_depth + 1) * BLOCK_CELLS)
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = (cells[cuts[b] : cuts[b + 1]] & (BLOCK_CELLS - 1)).astype("<u2")
-                    twice = n[cuts[b] : cuts[b + 1]] > 1
-                    numbers.append(d * per_depth + b)
-                    once.append(own[~twice].tobytes())
-                    more.append(own[twice].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, type=pa.int32()), pa.array(once, type=pa.binary()), pa.array(more, type=pa.binary())], names=["block", "once", "more"])
+        def flush() -> pa.RecordBatch:
+            cells, n = np.unique(np.concatenate(held), return_counts=True)
+            numbers, first = np.unique(cells // size, return_index=True)
+            once, more = [], []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cells)], strict=True):
+                own, twice = (cells[a:b] % size).astype("<u4"), n[a:b] > 1
+                once.append(own[~twice].tobytes())
+                more.append(own[twice].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(once, type=pa.binary()), pa.array(more, type=pa.binary())], names=["block", "once", "more"])
 
         for batch in batches:
-            for block in blocks(batch.column(0)):
-                _, _, owners, anchors = _anchored(block, width)
+            for text in blocks(batch.column(0)):
+                _, _, owners, anchors = _anchored(text, width)
                 if len(anchors):
-                    order = np.lexsort((anchors, owners))
-                    a, o = anchors[order], owners[order]
-                    a = a[np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])]]  # once a document
-                    for d, cells in enumerate(_cells(a, bits)):
-                        held[d].append(cells)
-                    count += len(a)
+                    block, cells = _cells(_once_a_document(owners, anchors)[1], bits)
+                    held += [block * size + c for c in cells]
+                    count += len(block)
             if count > 4 * HELD:
-                yield from flush()
-                held, count = [[] for _ in range(DEPTH)], 0
+                yield flush()
+                held, count = [], 0
         if count:
-            yield from flush()
+            yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen = None, np.zeros(BLOCK_CELLS, dtype=np.uint8)
+        at, seen = None, np.zeros(size, dtype=np.uint8)
 
         def bitmap() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([zlib.compress(np.packbits(seen > 1).tobytes(), 1)], type=pa.binary())], names=["block", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([at], type=pa.int64()), pa.array([np.packbits(seen > 1).tobytes()], type=pa.binary())], names=["block", "cells"])
 
         for batch in batches:
             for number, once, more in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if number != at:
                     if at is not None:
                         yield bitmap()
-                    at, seen = number, np.zeros(BLOCK_CELLS, dtype=np.uint8)
-                cells = np.frombuffer(once, dtype="<u2")
+                    at, seen = number, np.zeros(size, dtype=np.uint8)
+                cells = np.frombuffer(once, dtype="<u4")
                 seen[cells] = np.minimum(seen[cells], 1) + 1
-                seen[np.frombuffer(more, dtype="<u2")] = 2
+                seen[np.frombuffer(more, dtype="<u4")] = 2
         if at is not None:
             yield bitmap()
 
-    sketches = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(partial, "block int, once binary, more binary")
-    merged = sketches.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    out = np.zeros((DEPTH * per_depth, BLOCK_CELLS // 8), dtype=np.uint8)
-    for row in merged.toLocalIterator():
-        out[row.block] = np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
-    return out.reshape(DEPTH, -1)
+    sketches = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(partial, "block long, once binary, more binary")
+    return sketches.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, cells binary")
+
+
+def collected(sketch: DataFrame, bits: int) -> np.ndarray:
+    """The bitmaps of all blocks on the driver: ``DEPTH * 2**bits / 8`` bytes."""
+    out = np.zeros((1 << (bits - CELL_BITS), (DEPTH << CELL_BITS) // 8), dtype=np.uint8)
+
+    def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(c, 1) for c in batch.column(1).to_pylist()], type=pa.binary())], names=["block", "cells"])
+
+    for row in sketch.mapInArrow(pressed, "block long, cells binary").toLocalIterator():
+        out[row.block] = np.frombuffer(zlib.decompress(row.cells), dtype=np.uint8)
+    return out
 
 
 def _suspected(anchors: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
     """Which anchors the sketch estimates at two documents or more."""
     out = np.ones(len(anchors), dtype=bool)
-    for row, cells in zip(sketch, _cells(anchors, bits), strict=True):
-        out &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+    block, depths = _cells(anchors, bits)
+    for cells in depths:
+        out &= (sketch[block, cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
     return out
 
 
+def with_suspected_anchors(docs: DataFrame, sketch: DataFrame, bits: int, width: int) -> DataFrame:
+    """``id, sig, text, anchors``: documents and those of their anchors that the distributed
+    sketch estimates at two documents or more. A document's anchors (about one for twenty words)
+    are joined with their blocks; the adaptive planner splits a block that many anchors share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in blocks(batch.column(2)):
+                _, _, owners, anchors = _anchored(text, width)
+                o, a = _once_a_document(owners, anchors)
+                block, cells = _cells(a, bits)
+                rows = pa.array(text.first + o)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(a.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c) for c in cells)], names=["block", "a", "id", "sig", *(f"c{d}" for d in range(DEPTH))])
+
+    held = docs.mapInArrow(run, "block long, a long, id long, sig long, " + ", ".join(f"c{d} long" for d in range(DEPTH)))
+    hit = F.lit(True)
+    for d in range(DEPTH):
+        octet = F.conv(F.hex(F.substring("cells", F.shiftright(f"c{d}", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        place = (F.lit(7) - F.col(f"c{d}").bitwiseAND(F.lit(7))).cast("int")
+        hit = hit & (F.call_function("shiftright", octet, place).bitwiseAND(F.lit(1)) == 1)
+    own = held.join(sketch, "block").where(hit).groupBy("id", "sig").agg(F.collect_list("a").alias("anchors"))
+    return docs.join(own, ["id", "sig"]).select("id", "sig", "text", "anchors")
+
+
 _WINDOW_FIELDS = "h1 long, h2 long, id long, sig long, span long, settled boolean"
 
 
@@ -167,7 +207,7 @@ def _suspect_windows(docs: DataFrame, sketch: np.ndarray | None, bits: int, widt
     """Windows to group exactly; ``settled`` ones are known to have a smaller document.
 
     ``span`` is the first window's start times 2**32 plus the number of consecutive windows
-    (one, unless settled). Without a sketch, ``docs`` has a column of each one's repeated anchors.
+    (one, unless settled). Without a sketch, ``docs`` has a column of each one's suspected anchors.
     """
     shared = None if sketch is None else docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -230,10 +270,11 @@ def repeated_starts(docs: DataFrame, width: int, id_col: str, text_col: str) ->
     keyed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("sig"), F.col(text_col).cast("string").alias("text"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(total)
-    if bits <= MOST_BITS:
-        suspects = _suspect_windows(keyed, merged_sketch(keyed, bits, width), bits, width)
+    sketch = merged_sketch(keyed, bits, width)
+    if bits <= BROADCAST_BITS:
+        suspects = _suspect_windows(keyed, collected(sketch, bits), bits, width)
     else:
-        suspects = _suspect_windows(with_repeated_anchors(keyed, width), None, bits, width)
+        suspects = _suspect_windows(with_suspected_anchors(keyed, sketch, bits, width), None, bits, width)
     least = F.min("id").over(Window.partitionBy("h1", "h2"))
     gone = suspects.withColumn("least", least).where(F.col("settled") | (F.col("id") > F.col("least")))
     return gone.groupBy("id", "sig").agg(F.collect_list("span").alias("spans"))
@@ -250,14 +291,15 @@ def removal(bounds: np.ndarray, spans: list[np.ndarray | None], width: int) -> n
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True, keep_columns: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True, keep_columns: bool = False, counts: str | None = "_dedup") -> DataFrame:
     """``id_col, n_words, n_removed, kept`` of every document; ``kept`` is its text without the
     words of windows that also start in a document with a smaller id.
 
     With ``rejoin`` the kept words are joined by one space; else the kept words stay with the
     white space that follows them. With ``keep_columns`` all input columns come first, the text
-    replaced, and the counts follow in one struct ``_dedup`` (no name clashes; null texts stay
-    null). Ids must be integers. Null and empty texts have no words. Texts under 50 words have
+    replaced, and the counts follow in one struct ``counts`` (with underscores added where the
+    input has a column of that name; none for ``counts=None``); null texts stay null. Texts are
+    read whole, whatever their length. Ids must be integers. Null and empty texts have no words. Texts under 50 words have
     no window and stay. Rows without an id take no part and stay. Rows that share an id count
     as one document. An empty table gives no rows.
     """
@@ -276,7 +318,6 @@ def dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: st
             marked = batch.column(len(carried) + 1)
             for block in blocks(texts):
                 found = words(block)
-                counts = found.counts
                 own = marked.slice(block.first, block.rows)
                 spans = [None if v is None else np.array(v, dtype=np.int64) for v in own.to_pylist()]
                 gone = removal(found.bounds, spans, width)
@@ -295,20 +336,20 @@ def dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: st
                         upto = [*begin[1:], len(raw)]
                         kept.append(raw[: begin[0]] + b"".join(raw[a:b] for a, b, s in zip(begin, upto, stay, strict=True) if s))
                 text_array = pa.array(kept, type=pa.binary()).cast(pa.string())
-                tallies = [pa.array(counts.astype(np.int64)), pa.array(lost.astype(np.int64))]
+                tallies = [pa.array(found.counts.astype(np.int64)), pa.array(lost.astype(np.int64))]
                 columns = [batch.column(k).slice(block.first, block.rows) for k in range(len(carried))]
                 if keep_columns:
                     columns[at] = pa.compute.if_else(columns[at].is_valid(), text_array, pa.scalar(None, pa.string()))
-                    yield pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(tallies, names=["n_words", "n_removed"])], names=[*carried, "_dedup"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(tallies, names=["n_words", "n_removed"])], names=[*carried, "counts"])
                 else:
                     yield pa.RecordBatch.from_arrays([*columns, *tallies, text_array], names=["c0", "n_words", "n_removed", "kept"])
 
     kinds = [f.dataType.simpleString() for f in flat.schema.fields[: len(carried)]]
     if keep_columns:
         kinds[at] = "string"
-        schema = ", ".join(f"{n} {t}" for n, t in zip(carried, kinds, strict=True)) + ", _dedup struct<n_words: bigint, n_removed: bigint>"
-        out = flat.mapInArrow(run, schema)
-        return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)), "_dedup")
+        schema = ", ".join(f"{n} {t}" for n, t in zip(carried, kinds, strict=True)) + ", counts struct<n_words: bigint, n_removed: bigint>"
+        names = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
+        return flat.mapInArrow(run, schema).select(*names, *([] if counts is None else [F.col("counts").alias(fresh(counts, docs.columns))]))
     return flat.mapInArrow(run, f"c0 {kinds[0]}, n_words long, n_removed long, kept string").withColumnRenamed("c0", id_col)
 
 

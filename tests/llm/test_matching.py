@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from deltaweave.llm import components, ngram_join, secret_scan, substring_dedup, vector_search
+from deltaweave.llm import components, kernel, ngram_join, secret_scan, substring_dedup, vector_search
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -125,15 +126,28 @@ def passages(seed=1, count=60):
     return [*out, out[3], out[3], None, "", "x " * 200, "x " * 90]
 
 
-@pytest.mark.parametrize(("held", "bits"), [(substring_dedup.HELD, substring_dedup.MOST_BITS), (50, substring_dedup.MOST_BITS), (50, 0)])
+@pytest.mark.parametrize(("held", "bits"), [(substring_dedup.HELD, substring_dedup.BROADCAST_BITS), (50, substring_dedup.BROADCAST_BITS), (50, 0)])
 def test_dedup_equals_brute_force(spark, monkeypatch, held, bits):
     monkeypatch.setattr(substring_dedup, "HELD", held)
-    monkeypatch.setattr(substring_dedup, "MOST_BITS", bits)  # 0: the way without a sketch
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BITS", bits)  # 0: the sketch stays distributed
     texts = passages()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(frame(spark, texts, 5)).collect()}
     assert got == dict(enumerate(brute_dedup(texts, 50)))
 
 
+def test_distributed_sketch_suspects_the_same_anchors(spark):
+    docs = frame(spark, passages(), 5).where("text IS NOT NULL").selectExpr("doc_id AS id", "xxhash64(text) AS sig", "text")
+    sketch = substring_dedup.merged_sketch(docs, 18, 50)
+    shared = substring_dedup.collected(sketch, 18)
+    held = {r.id: set(r.anchors) for r in substring_dedup.with_suspected_anchors(docs, sketch, 18, 50).collect()}
+    wanted = {}
+    for r in docs.collect():
+        _, _, _, anchors = substring_dedup._anchored(next(kernel.blocks(pa.array([r.text]))), 50)
+        if found := set(anchors[substring_dedup._suspected(anchors, shared, 18)].view(np.int64).tolist()):
+            wanted[r.id] = found
+    assert held == wanted and len(held) > 20
+
+
 def test_dedup_with_short_windows(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(60)]
@@ -146,6 +160,9 @@ def test_dedup_keeps_layout_and_columns(spark):
     docs = spark.createDataFrame([(1, passage, "a"), (2, f"x\n\n{passage}\ty  z\n", "b"), (3, None, None), (None, passage, "d")], "doc_id long, text string, kept string")
     got = substring_dedup.dedup(docs, rejoin=False, keep_columns=True)
     assert got.columns == ["doc_id", "text", "kept", "_dedup"]
+    clash = docs.withColumnRenamed("kept", "_dedup")
+    assert substring_dedup.dedup(clash, keep_columns=True).columns == ["doc_id", "text", "_dedup", "_dedup_"]
+    assert substring_dedup.dedup(clash, keep_columns=True, counts=None).columns == clash.columns
     assert {(r.doc_id, r.text, r.kept, r._dedup.n_removed) for r in got.collect()} == {(1, passage, "a", 0), (2, "x\n\ny  z\n", "b", 50), (3, None, None, 0), (None, passage, "d", 0)}
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
 
