@@ -7,8 +7,14 @@ the query's four bit planes); the estimate has an error bound that shrinks with
 A candidate is reranked on its original vector only if its upper bound reaches the k-th best
 lower bound, so what is left out is farther with high probability.
 
-The data are scanned once a chunk of queries; a chunk is a bounded broadcast. Every task keeps
-the k best of its rows for each query, and those few meet by query in the end.
+A small sample of rows gives every query a first lower bound and is clustered into cells of
+directions. Each task sorts its rows by cell; a cell whose angle to a query cannot reach the
+query's bound is passed over as a whole, and the codes decide inside the others. Where the
+directions form clusters most cells are passed over; where they are spread evenly over many
+dimensions no cell can be, and every code is compared.
+
+The data are scanned once a chunk of queries; a chunk is a broadcast of bounded bytes. Every
+task keeps the k best of its rows for each query, and those few meet by query in the end.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries broadcast at once (bounds the broadcast), and rows and queries held in one block.
-QUERY_CHUNK = 65_536
-ROW_BLOCK = 2_048
-QUERY_BLOCK = 256
+#: Bytes of queries broadcast at once; rows held and rows and queries compared in one block.
+QUERY_BYTES = 32 << 20
+HELD_ROWS, ROW_BLOCK, QUERY_BLOCK = 16_384, 2_048, 256
+#: Rows (the first by a hash of their id) and bytes of the sample, and cells made of it.
+SAMPLE_ROWS, SAMPLE_BYTES, CELLS = 2_048, 16 << 20, 32
 #: Bits of a quantised query coordinate.
 QUERY_BITS = 4
 #: Confidence of the error bound, in standard deviations.
@@ -44,13 +51,22 @@ def pack_bits(flags: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1).view(np.uint64)
 
 
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths; components are scaled first, so tiny and huge ones survive."""
+    scale = np.abs(vectors).max(axis=1, keepdims=True)
+    # in two steps: a power of two near the largest component may itself have no inverse
+    scaled = np.ldexp(vectors, -np.frexp(scale)[1])
+    length = np.linalg.norm(scaled, axis=1, keepdims=True)
+    return scaled / length, np.ldexp(length[:, 0], np.frexp(scale)[1][:, 0])
+
+
 class Codes:
     """One-bit codes of rows with their correction scalars."""
 
-    def __init__(self, vectors: np.ndarray, turn: np.ndarray) -> None:
-        dimension = vectors.shape[1]
-        self.norm = np.linalg.norm(vectors, axis=1)
-        turned = (vectors / self.norm[:, None]) @ turn.T
+    def __init__(self, unit: np.ndarray, norm: np.ndarray, turn: np.ndarray) -> None:
+        dimension = unit.shape[1]
+        self.norm = norm
+        turned = unit @ turn.T
         positive = turned > 0
         self.bits = pack_bits(positive)
         self.ones = positive.sum(axis=1)
@@ -63,8 +79,8 @@ class Query:
 
     def __init__(self, vectors: np.ndarray, turn: np.ndarray) -> None:
         self.vectors = vectors
-        self.norm = np.linalg.norm(vectors, axis=1)
-        turned = (vectors / self.norm[:, None]) @ turn.T
+        self.unit, self.norm = directions(vectors)
+        turned = self.unit @ turn.T
         self.low = turned.min(axis=1)
         top = (1 << QUERY_BITS) - 1
         self.step = np.maximum((turned.max(axis=1) - self.low) / top, 1e-12)
@@ -74,8 +90,9 @@ class Query:
         self.rounding = self.step / np.sqrt(12)  # deviation of a coordinate's rounding
 
 
-def estimate(query: Query, rows: slice, codes: Codes, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of queries and codes, and their error bounds."""
+def estimate(query: Query, rows: np.ndarray, codes: Codes, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of some queries and all codes (with high
+    probability); none where the product of the lengths leaves the range of doubles."""
     dot = np.zeros((len(query.norm[rows]), len(codes.norm)))
     for b, plane in enumerate(query.planes):
         own = plane[rows]
@@ -87,32 +104,65 @@ def estimate(query: Query, rows: slice, codes: Codes, dimension: int) -> tuple[n
     root = np.sqrt(dimension)
     # <code, q> with code = (2 bits - 1) / sqrt(D) and q = low + step * levels
     inner = (2 * step * dot + 2 * low * codes.ones[None, :] - step * query.level_sum[rows, None] - low * dimension) / root
-    scale = query.norm[rows, None] * codes.norm[None, :]
-    around = EPSILON * np.sqrt(codes.spread[None, :] ** 2 + (query.rounding[rows, None] / codes.fit[None, :]) ** 2)
-    return scale * inner / codes.fit[None, :], scale * around
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        scale = query.norm[rows, None] * codes.norm[None, :]
+        near, error = inner / codes.fit[None, :], EPSILON * np.sqrt(codes.spread[None, :] ** 2 + (query.rounding[rows, None] / codes.fit[None, :]) ** 2)
+        fine = (scale > 1e-280) & (scale < 1e280)
+        return np.where(fine, scale * (near - error), -np.inf), np.where(fine, scale * (near + error), np.inf)
 
 
 class Best:
-    """The k best (score, id) of each query so far: largest score, then smallest id."""
+    """The k best (score, id) of each query so far: largest score, then smallest id. Sums that
+    are not a number (infinite products of both signs) count as the largest, as in SQL."""
 
     def __init__(self, queries: int, k: int) -> None:
-        self.k = k
+        self.k, self.found = k, np.zeros(queries, dtype=np.int64)
         self.score, self.id = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.r_[self.score[q], scores], np.r_[self.id[q], ids]
-        order = np.lexsort((i, -s))[: self.k]
-        self.score[q], self.id[q] = s[order], i[order]
+        s, i = np.r_[self.score[q, : self.found[q]], scores], np.r_[self.id[q, : self.found[q]], ids]
+        odd = np.isnan(s)
+        order = np.lexsort((i, -np.where(odd, 0, s), ~odd))[: self.k]
+        self.found[q] = len(order)
+        self.score[q, : len(order)], self.id[q, : len(order)] = s[order], i[order]
 
 
 def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in the order of the coordinates."""
     total = np.zeros(len(rows))
-    for j in range(rows.shape[1]):
-        total += rows[:, j] * query[j]
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        for j in range(rows.shape[1]):
+            total += rows[:, j] * query[j]
     return total
 
 
+def cell_centres(unit: np.ndarray, cells: int = CELLS, rounds: int = 8) -> np.ndarray:
+    """Directions of up to ``cells`` clusters of a sample of directions."""
+    centres = unit[np.linspace(0, len(unit) - 1, min(cells, len(unit))).astype(int)] if len(unit) else unit
+    for _ in range(rounds):
+        own = (unit @ centres.T).argmax(axis=1) if len(unit) else np.zeros(0, dtype=int)
+        for c in range(len(centres)):
+            total = unit[own == c].sum(axis=0)
+            if np.linalg.norm(total) > 0:
+                centres[c] = total / np.linalg.norm(total)
+    return centres
+
+
+def first_floors(ids: np.ndarray, unit: np.ndarray, norm: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """A lower bound of each query's k-th best inner product: the k-th best among the sample."""
+    floors = np.full(len(ids), -np.inf)
+    if len(sample_ids) > k:
+        sample_unit, sample_norm = directions(sample)
+        for a in range(0, len(ids), QUERY_BLOCK):
+            some = slice(a, a + QUERY_BLOCK)
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                scale = norm[some, None] * sample_norm[None, :]
+                low = scale * (unit[some] @ sample_unit.T - 1e-9)
+            low = np.where((scale > 1e-280) & (scale < 1e280) & (ids[some, None] != sample_ids[None, :]), low, -np.inf)
+            floors[some] = np.partition(low, -k, axis=1)[:, -k]
+    return floors
+
+
 def usable(ids: pa.Array, vectors: pa.Array, dimension: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and double vectors that are whole: not null, of the dimension, finite, not zero."""
     vectors = vectors.cast(pa.list_(pa.float64()))
@@ -127,30 +177,37 @@ def usable(ids: pa.Array, vectors: pa.Array, dimension: int | None = None) -> tu
     return np.array(ids.take(pa.array(at)))[fine], matrix[fine]
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_chunk: int = QUERY_CHUNK) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_bytes: int = QUERY_BYTES, codes: bool = True) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``id_col``, ``score`` of each query's nearest rows.
 
     A row is no candidate of a query with its own id. Nearness is the inner product of the
     original vectors in double precision; ties go to the smaller id. Null vectors, vectors of
     another dimension than the queries' commonest, zero vectors and those with null or
-    non-finite components take no part, neither do null ids. Fewer than ``k`` candidates are
-    all returned; no queries or rows give an empty result; other columns are not read. Queries
-    with equal ids and repeated rows are each answered or found as they are.
+    non-finite components take no part, neither do null ids; any other length does, however
+    small or large. Fewer than ``k`` candidates are all returned; no queries or rows give an
+    empty result; other columns are not read. Queries with equal ids and repeated rows are each
+    answered or found as they are. Without ``codes`` all rows of the cells that can matter are
+    compared exactly.
     """
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     data = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    sizes = asked.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    chunks = max(1, -(-asked.count() // query_chunk)) if sizes else 0
+    sizes = asked.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").collect()
     dimension = sizes[0]["size"] if sizes else 0
+    chunks = max(1, -(-sum(r["n"] for r in sizes) * (8 * max(r["size"] for r in sizes) + 16) // query_bytes)) if sizes and dimension else 0
     schema = "query_id long, id long, score double"
-    parts = []
+    parts, sample = [], None
     for c in range(chunks):
         got = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).toArrow()
         ids, vectors = usable(got.column(0).combine_chunks(), got.column(1).combine_chunks(), dimension) if got.num_rows else (np.zeros(0, np.int64), np.zeros((0, dimension)))
-        if len(ids) == 0 or dimension == 0:
+        if len(ids) == 0:
             continue
-        shared = table.sparkSession.sparkContext.broadcast((ids, vectors))
-        parts.append(data.mapInArrow(_scan(shared, dimension, k), schema))
+        if sample is None:
+            first = data.where(F.size("v") == dimension).orderBy(F.xxhash64("id"), "id", "v").limit(max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dimension)))).toArrow()
+            sample = usable(first.column(0).combine_chunks(), first.column(1).combine_chunks(), dimension) if first.num_rows else (np.zeros(0, np.int64), np.zeros((0, dimension)))
+            centres = cell_centres(directions(sample[1])[0])
+        floors = first_floors(ids, *directions(vectors), *sample, k)
+        shared = table.sparkSession.sparkContext.broadcast((ids, vectors, floors, centres))
+        parts.append(data.mapInArrow(_scan(shared, dimension, k, codes), schema))
     if not parts:
         return table.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     found = reduce(DataFrame.unionByName, parts)
@@ -158,33 +215,71 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _scan(shared, dimension: int, k: int):
+def _scan(shared, dimension: int, k: int, use_codes: bool):
     """Per task: the k best rows for each query of the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors = shared.value
+        query_ids, vectors, floors, centres = shared.value
         turn = rotation(dimension)
         query, best = Query(vectors, turn), Best(len(query_ids), k)
+        floors = floors.copy()
+        toward = np.arccos(np.clip(query.unit @ centres.T, -1, 1)) if len(centres) else None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def compare(ids: np.ndarray, rows: np.ndarray, unit: np.ndarray, norm: np.ndarray, asked: np.ndarray) -> None:
+            codes = Codes(unit, norm, turn) if use_codes else None
+            for a in range(0, len(asked), QUERY_BLOCK):
+                some = asked[a : a + QUERY_BLOCK]
+                other = ids[None, :] != query_ids[some, None]
+                if codes is None:
+                    worth = other
+                else:
+                    low, high = estimate(query, some, codes, dimension)
+                    if len(ids) > k:
+                        low = np.where(other, low, -np.inf)
+                        floors[some] = np.maximum(floors[some], np.partition(low, -k, axis=1)[:, -k])
+                    worth = other & ~(high < floors[some, None])
+                for i in np.flatnonzero(worth.any(axis=1)).tolist():
+                    at, j = np.flatnonzero(worth[i]), int(some[i])
+                    best.add(j, exact(vectors[j], rows[at]), ids[at])
+                    if best.found[j] == k and best.score[j, -1] > floors[j]:
+                        floors[j] = best.score[j, -1]
+
+        def by_cell() -> None:
+            ids, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            unit, norm = directions(rows)
+            own = (unit @ centres.T).argmax(axis=1) if toward is not None else np.zeros(len(ids), dtype=int)
+            for c in np.unique(own).tolist():
+                members = np.flatnonzero(own == c)
+                asked = np.arange(len(query_ids))
+                if toward is not None:
+                    width = np.arccos(np.clip(unit[members] @ centres[c], -1, 1)).max() + 1e-6
+                    cosine = np.cos(np.maximum(toward[:, c] - width, 0)) + 1e-9
+                    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                        length = np.where(cosine > 0, norm[members].max(), norm[members].min())
+                        reach = query.norm * length * cosine
+                    asked = asked[~((reach < floors) & (query.norm * length > 1e-280))]
+                for a in range(0, len(members), ROW_BLOCK):
+                    at = members[a : a + ROW_BLOCK]
+                    compare(ids[at], rows[at], unit[at], norm[at], asked)
+            held.clear()
+
+        count = 0
         for batch in batches:
             for start in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(start, ROW_BLOCK)
                 ids, rows = usable(part.column(0), part.column(1), dimension)
-                if not len(ids):
-                    continue
-                codes = Codes(rows, turn)
-                for q0 in range(0, len(query_ids), QUERY_BLOCK):
-                    near, error = estimate(query, slice(q0, q0 + QUERY_BLOCK), codes, dimension)
-                    own = query_ids[q0 : q0 + QUERY_BLOCK]
-                    lower = np.where(ids[None, :] == own[:, None], -np.inf, near - error)
-                    floor = best.score[q0 : q0 + QUERY_BLOCK, -1]
-                    if lower.shape[1] > k:
-                        floor = np.maximum(floor, np.partition(lower, -k, axis=1)[:, -k])
-                    for i, j in enumerate(range(q0, min(q0 + QUERY_BLOCK, len(query_ids)))):
-                        at = np.flatnonzero((near[i] + error[i] >= floor[i]) & (ids != own[i]))
-                        if len(at):
-                            best.add(j, exact(vectors[j], rows[at]), ids[at])
-        q, slot = np.nonzero(np.isfinite(best.score))
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(best.id[q, slot]), pa.array(best.score[q, slot])], names=["query_id", "id", "score"])
+                if len(ids):
+                    held.append((ids, rows))
+                    count += len(ids)
+                if count >= HELD_ROWS:
+                    by_cell()
+                    count = 0
+        if held:
+            by_cell()
+        slot = np.arange(k)[None, :] < best.found[:, None]
+        q = np.nonzero(slot)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(best.id[slot]), pa.array(best.score[slot])], names=["query_id", "id", "score"])
 
     return run
 

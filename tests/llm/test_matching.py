@@ -239,7 +239,7 @@ def test_search_recall(spark, dimension, count):
     rows += [(5000 + i, rows[1][1], 0) for i in range(30)]  # equal vectors
     rows += [(9000, None, 0), (9020, [0.0] * dimension, 0), (9040, [float("nan")] * dimension, 0), (9060, [None] * dimension, 0), (9080, [1.0], 0), (None, rows[0][1], 0)]
     table = vectors(spark, rows).repartition(3)
-    got = [tuple(r) for r in vector_search.search(table, table.where("vec_id % 20 = 0"), query_chunk=17).collect()]
+    got = [tuple(r) for r in vector_search.search(table, table.where("vec_id % 20 = 0"), query_bytes=17 * (8 * dimension + 16)).collect()]
     want = brute_search([r for r in rows if r[0] != 9080], 20)
     assert len(got) == len(want)
     exact = {(q, i) for q, _, i, _ in want}
@@ -248,6 +248,35 @@ def test_search_recall(spark, dimension, count):
     assert np.mean([abs(scores[q, r] - s) < 1e-9 for q, r, _, s in got]) > 0.98
 
 
+@pytest.mark.parametrize("codes", [True, False])
+def test_search_of_clusters_passes_over_cells(spark, monkeypatch, codes):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 48)) * 4
+    rows = [(i, [float(x) for x in (centres[i % 12] + rng.standard_normal(48) * 0.3) * (1 + i % 3)], 0) for i in range(1200)]
+    table = vectors(spark, rows).repartition(2)
+    got = {(r.query_id, r.vec_id) for r in vector_search.search(table, table.where("vec_id % 20 = 0"), codes=codes).collect()}
+    want = {(q, i) for q, _, i, _ in brute_search(rows, 20)}
+    assert len(got) == len(want) and len(got & want) / len(want) >= (0.98 if codes else 1)
+
+
+def test_search_of_tiny_and_huge_vectors(spark):
+    """Lengths whose squares leave the range of doubles."""
+    rng = np.random.default_rng(4)
+    for scales in ((1e-200,), (1e200,), (1e-200, 1.0, 1e150), (1e-320, 1e-300)):
+        rows = [(i, [float(x) for x in rng.integers(-9, 10, 6) * scales[i % len(scales)]]) for i in range(70)]
+        rows = [r for r in rows if any(r[1])]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.search(table, table.where("vec_id % 20 = 0"), k=5).collect()]
+        want = []
+        for q, a in rows:
+            if q % 20 == 0:
+                with np.errstate(all="ignore"):
+                    scores = [(float(vector_search.exact(np.array(a), np.array([b]))[0]), i) for i, b in rows if i != q]
+                order = sorted(scores, key=lambda x: (not np.isnan(x[0]), -x[0] if not np.isnan(x[0]) else 0, x[1]))[:5]
+                want += [(q, r + 1, i, s) for r, (s, i) in enumerate(order)]
+        assert repr(sorted(got, key=lambda r: r[:2])) == repr(sorted(want, key=lambda r: r[:2])), scales
+
+
 def test_search_of_few_or_no_rows(spark):
     table = vectors(spark, [(0, [1.0, 2.0], 0), (1, [2.0, 1.0], 0), (2, [3.0, 3.0], 0)])
     got = sorted(tuple(r) for r in vector_search.search(table, table.where("vec_id % 20 = 0")).collect())
