@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become the symbols insult, threat, target, negation, report and other. Five small
-transducers read them: the insult transducer marks insults; the target, negation and
-reported-speech transducers re-mark an insult inside their scope; the threat transducer marks a
-threat that meets a target. Their composition is one machine that is reset at each clause
-border, and a clause counts by the kind of match it holds. The insult lexicon (word forms and
-word beginnings, for inflected languages; mild where only their repetition tells) and the
-weights of the kinds are learned from a bounded labelled sample.
+transducers read them: the insult transducer marks insults, the target transducer aims them, the
+threat transducer marks a threat that meets a target, and the negation and reported-speech
+transducers re-mark what lies in their scope. Their composition is one machine that is reset at
+each clause border. A clause makes one match, of its strongest kind and with the weight of its
+path: what is asserted counts, and only where nothing is, what is negated or reported. A document is scored by its matched clauses: asserted
+kinds can only raise the score, negated and reported ones only lower it. The insult lexicon (word
+forms and word beginnings, for inflected languages; mild where only their repetition tells) and
+the weights of the kinds are learned from a bounded labelled sample; a kind that the sample does
+not show keeps the grammar's own weight.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaweave.llm.kernel import Hasher, blocks, per_row, runs
+from deltaweave.llm.storage import cut
 
 OTHER, INSULT, MILD, THREAT, TARGET, NEGATION, REPORT = range(7)
 
@@ -32,11 +36,15 @@ TARGETS = frozenset("you your he she they him her them these those people everyo
 NEGATIONS = frozenset("not never no nobody isn aren wasn don doesn didn nicht kein keine nie niemals ne pas jamais aucun aucune no nunca jamás ningún".split())
 REPORTS = frozenset("said says wrote claimed called quoted reported sagte schrieb nannte behauptete dit écrit appelé affirmé dijo escribió llamó afirmó".split())
 
-#: Kinds of matches that the composed machine emits.
-KINDS = ("insult", "aimed", "negated", "reported", "threat")
-#: What the logistic layer reads: matches by kind, and all matches per 100 words.
-SIGNALS = (*KINDS, "density")
-
+#: Kinds of matches that the composed machine emits, from the strongest; the first four assert.
+KINDS = ("threat", "aimed", "insult", "mild", "negated", "reported")
+ASSERTED = 4
+#: What the logistic layer reads: the clauses of each kind by their path's weight, and per 100
+#: words the weight of asserted clauses, with and without the mild ones.
+SIGNALS = (*KINDS, "density", "strong_density")
+#: The weights that hold where the sample says nothing.
+PRIOR = np.array([2.5, 2.5, 2.0, 0.5, -1.0, -0.5, 0.5, 0.5])
+_PLACE: dict[object, int] = {kind: k for k, kind in enumerate(KINDS)}
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[.!?;:\n]")
@@ -88,13 +96,14 @@ def scope(trigger: int, marks: dict[object, object], span: int, weight: float =
 
 
 def grammar() -> Transducer:
-    """insult, then threat, target, negation and reported speech, composed left to right."""
-    insult = Transducer({(0, INSULT): ("insult", 1.0, 0), (0, MILD): ("insult", 0.5, 0)})
+    """insult, then target, threat, negation and reported speech, composed left to right."""
+    insult = Transducer({(0, INSULT): ("insult", 1.0, 0), (0, MILD): ("mild", 0.5, 0)})
+    target = scope(TARGET, {"insult": "aimed"}, 4, 0.25)
     threat = scope(THREAT, {TARGET: "threat"}, 3, 1.0)
-    target = scope(TARGET, {"insult": "aimed"}, 4, 0.5)
-    negation = scope(NEGATION, {"insult": "negated", "aimed": "negated"}, 3, -0.5)
-    reported = scope(REPORT, {"insult": "reported", "aimed": "reported"}, 8, -0.5)
-    return insult @ threat @ target @ negation @ reported
+    asserted = ("insult", "mild", "aimed", "threat")
+    negation = scope(NEGATION, dict.fromkeys(asserted, "negated"), 4)
+    reported = scope(REPORT, dict.fromkeys(("negated", *asserted), "reported"), 8)
+    return insult @ target @ threat @ negation @ reported
 
 
 @dataclass
@@ -104,7 +113,7 @@ class Model:
     forms: tuple[bytes, ...] = ()
     beginnings: tuple[bytes, ...] = ()
     mild: frozenset[bytes] = frozenset()
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(SIGNALS)))
+    weights: np.ndarray = field(default_factory=PRIOR.copy)
     intercept: float = -3.0
 
     def compiled(self) -> Matcher:
@@ -136,17 +145,27 @@ class Matcher:
         return self.closed.get(word, OTHER)
 
     def matches(self, text: bytes) -> np.ndarray:
-        """Clause matches of one text by kind, weighted along the machine's path."""
-        total = dict.fromkeys(KINDS, 0.0)
+        """Clauses of one text by the kind of their match, each weighted along the machine's path."""
+        total = np.zeros(len(KINDS))
         step, state, start = self.machine.step, self.machine.start, self.machine.start
+        path: dict[int, float] = {}
+
+        def close() -> None:
+            if path:
+                kind = min(path)
+                total[kind] += sum(w for k, w in path.items() if k < ASSERTED or k == kind)
+                path.clear()
+
         for token in _TOKEN.findall(text.lower()):
             if token[0] in _BORDER:
+                close()
                 state = start
                 continue
             out, weight, state = step(state, self.symbol(token))
-            if out in total:
-                total[out] += max(weight, 0.25)
-        return np.array([total[k] for k in KINDS])
+            if (kind := _PLACE.get(out)) is not None:
+                path[kind] = path.get(kind, 0.0) + weight
+        close()
+        return total
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         """For each block: first row, rows, signals."""
@@ -162,8 +181,9 @@ class Matcher:
                 hit[at[_among(hasher.ranges(token.starts[at], token.starts[at] + n), known)]] = True
             out = np.zeros((block.rows, len(SIGNALS)))
             for row in np.flatnonzero(per_row(hit, token.bounds)).tolist():
-                out[row, :-1] = self.matches(block.data[block.offsets[row] : block.offsets[row + 1]].tobytes())
-            out[:, -1] = 100 * out.sum(axis=1) / np.maximum(token.counts, 20)
+                out[row, : len(KINDS)] = self.matches(block.data[block.offsets[row] : block.offsets[row + 1]].tobytes())
+            share = 100 / np.maximum(token.counts, 20)
+            out[:, -2], out[:, -1] = share * out[:, :ASSERTED].sum(axis=1), share * out[:, : KINDS.index("mild")].sum(axis=1)
             yield block.first, block.rows, out
 
 
@@ -242,11 +262,13 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most: int = 600
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 4_000, max_clean: int = 8_000) -> Model:
     """A model of at most ``max_toxic`` and ``max_clean`` labelled documents, the first by a
-    hash of their id. Only lexicon candidates and match counts are collected."""
+    hash of their id. The sample is written once in the shared folder; only lexicon candidates
+    and match counts are collected."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("toxic"))
     order = (F.xxhash64("_label_id"), F.col("toxic"))
     chosen = known.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(max_clean))
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("_id", "toxic", "text")
+    sample = cut(sample)
     counts = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model(intercept=math.log(0.95 / 0.05) if counts.get(1) else math.log(0.05 / 0.95))
@@ -265,24 +287,31 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 800) -> tuple[np.ndarray, float]:
-    """Non-negative weights (more matches never mean less toxic) and intercept."""
+    """Weights near the grammar's own and intercept. More asserted clauses never mean less toxic,
+    an aimed insult weighs no less than another, and denials and quotations never mean more."""
     order = np.lexsort((*x.T, y))  # sums in a fixed order, whatever the tasks' order
     x, y = x[order], y[order]
     z = np.column_stack([x, np.ones(len(x))])
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     rate = 1 / (0.25 * np.linalg.norm(z * np.sqrt(share)[:, None], 2) ** 2 + ridge)
-    w = np.zeros(z.shape[1])
+    asserted = [k for k, name in enumerate(SIGNALS) if name not in ("negated", "reported")]
+    doubted = [SIGNALS.index("negated"), SIGNALS.index("reported")]
+    prior = np.r_[PRIOR, 0.0]
+    w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w -= rate * (z.T @ (share * (p - y)) + ridge * w)
-        w[:-1] = np.maximum(w[:-1], 0)
+        w -= rate * (z.T @ (share * (p - y)) + ridge * (w - prior))
+        w[asserted] = np.maximum(w[asserted], 0)
+        w[doubted] = np.minimum(w[doubted], -0.05)
+        w[SIGNALS.index("aimed")] = max(w[SIGNALS.index("aimed")], w[SIGNALS.index("insult")])
     return w[:-1], float(w[-1])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``id_col``, ``score``, ``predicted`` and the matches of each kind of every whole text.
+    """``id_col``, ``score``, ``predicted`` and the matched clauses of each kind of every whole
+    text, whatever its length.
 
-    Null and empty texts have no matches and get the lowest score. Repeated rows get equal
+    Null and empty texts have no matches. Repeated rows get equal
     scores; an empty table gives no rows; other columns are dropped. No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()

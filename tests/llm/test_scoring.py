@@ -163,7 +163,11 @@ def test_grammar_marks_scopes():
     assert set(kinds("he said that the old idiot")) == {"reported"}
     assert set(kinds("not now. idiot")) == {"insult"}  # a clause border ends every scope
     assert set(kinds("kill them")) == {"threat"} and kinds("kill the process") == {}
-    assert kinds("schuft")["insult"] < kinds("idiot")["insult"]
+    assert set(kinds("schuft")) == {"mild"} and kinds("schuft")["mild"] < kinds("idiot")["insult"]
+    assert set(kinds("you will not kill them")) == set(kinds("never an idiot")) == {"negated"}
+    assert set(kinds("idiot said the idiot")) == {"insult"} and len(kinds("you idiot, idiot")) == 1  # one match a clause
+    assert set(kinds("an idiot. not an idiot")) == {"insult", "negated"}
+    assert kinds("idiot idiot")["insult"] == 2 * kinds("idiot")["insult"]  # the path's weight
     assert kinds("idiotic") == {} and kinds("") == {}
 
 
