@@ -1,9 +1,11 @@
 """Quality rules by distribution divergence.
 
 Histograms of character classes and of common words are compared with language references by
-Jensen-Shannon distance. The references are summed over every document of the corpus that
-passes the base rule, each document counted for the language whose common words it shows most;
-only those fixed-size sums reach the driver. A document is rejected when even its nearest
+Jensen-Shannon distance. References are fitted on a corpus (the one judged, unless others are
+given): they are summed over every document that passes the base rule and of whose words at least
+``EVIDENCE`` are common words of one language. The word lists are fixed, so junk cannot become a
+reference, however much of the corpus it is; where no document shows a language, that share alone
+judges. Only fixed-size sums reach the driver. A document is rejected when even its nearest
 reference is farther than the limit. Words of short texts scatter more, so their limit grows as
 the length falls; texts shorter than ``min_characters`` are not judged by their characters.
 """
@@ -18,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaweave.llm.kernel import blocks
+from deltaweave.llm.kernel import blocks, fresh
 from deltaweave.llm.text_stats import CLASSES, COMMON_WORDS, LANGUAGES, VOCABULARY, block_stats
 
+#: Share of a text's words that are common words of a language, from which it is evidence of it.
+EVIDENCE = 0.12
 _MEMBER = np.array([[w in COMMON_WORDS[lang] for w in VOCABULARY] for lang in LANGUAGES], dtype=np.int64)
 
 
@@ -53,6 +57,11 @@ def language_of(common: np.ndarray) -> np.ndarray:
     return np.where(share.max(axis=1) > 0, share.argmax(axis=1), -1)
 
 
+def evident(stats: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether enough of a text's words are common words of one language."""
+    return (stats["common"] @ _MEMBER.T).max(axis=1) >= EVIDENCE * np.maximum(stats["n_words"], 1)
+
+
 def word_histogram(stats: dict[str, np.ndarray]) -> np.ndarray:
     """Counts of the common words and, last, of all other words."""
     common = stats["common"]
@@ -71,14 +80,15 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def references(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Character-class and common-word distributions of each language found in the corpus."""
+    """Character-class and common-word distributions of each language found in the corpus, from
+    all its documents: one scan, and a shuffle of sums of languages x bins a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(LANGUAGES), len(CLASSES) + len(VOCABULARY) + 1), dtype=np.int64)
         for batch in batches:
             for block in blocks(batch.column(0)):
                 stats = block_stats(block)
-                language = np.where(base_failed(stats), -1, language_of(stats["common"]))
+                language = np.where(base_failed(stats) | ~evident(stats), -1, language_of(stats["common"]))
                 both = np.column_stack([stats["classes"], word_histogram(stats)])
                 np.add.at(sums, language[language >= 0], both[language >= 0])
         at, bin_ = np.nonzero(sums)
@@ -108,12 +118,15 @@ def distances(stats: dict[str, np.ndarray], refs: dict[str, tuple[np.ndarray, np
     )
 
 
-def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Base counts, both distances, ``base_failed`` and ``kept`` of every whole text; no shuffle.
+def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, verdict: str = "_quality", kept_only: bool = False) -> DataFrame:
+    """Base counts, both distances, ``base_failed`` and ``kept`` of every whole text, whatever its
+    length. Judging is one scan; without ``refs`` another one fits them before.
 
     Null and empty texts have no words and fail the base rule. With ``keep_columns`` all input
-    columns come first and the verdicts follow in one struct ``_quality``, so no name clashes.
-    Repeated rows are judged alike; an empty table has no references and gives no rows.
+    columns come first and the verdicts follow in one struct ``verdict`` (underscores are added
+    where the input has a column of that name; ``kept_only`` gives the input columns of the kept
+    rows instead). Repeated rows are judged alike; an empty table has no references and gives no
+    rows.
     """
     refs = references(docs, text_col) if refs is None else refs
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -125,7 +138,7 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]] | None
             stats = block_stats(block)
             failed = base_failed(stats)
             chars, common = distances(stats, refs)
-            far = ((chars > limits.characters) & (stats["classes"].sum(axis=1) >= limits.min_characters)) | (common > limits.word_limit(stats["n_words"]))
+            far = ~evident(stats) if not refs else ((chars > limits.characters) & (stats["classes"].sum(axis=1) >= limits.min_characters)) | (common > limits.word_limit(stats["n_words"]))
             arrays = [pa.array(stats[n].astype(np.int64)) for n in names] + [pa.array(failed), pa.array(chars), pa.array(common), pa.array(~failed & ~far)]
             yield block.first, block.rows, arrays
 
@@ -137,16 +150,22 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]] | None
     if not keep_columns:
         return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id " + kind + ", " + fields.replace(":", "")).withColumnRenamed("id", id_col)
 
+    # columns go by place, so their names cannot clash with the verdicts' or with each other
+    at, inner = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
+
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for first, rows, arrays in verdicts(batch.column(at)):
-                verdict = pa.StructArray.from_arrays(arrays, names=[*names, "base_failed", "char_distance", "word_distance", "kept"])
+            for first, rows, arrays in verdicts(batch.column(at).cast(pa.string())):
+                verdicts_ = pa.StructArray.from_arrays(arrays, names=[*names, "base_failed", "char_distance", "word_distance", "kept"])
                 part = batch.slice(first, rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, verdict], names=[*batch.schema.names, "_quality"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(wide, f"{schema}, _quality struct<{fields}>")
+                yield pa.RecordBatch.from_arrays([*part.columns, verdicts_], names=[*inner, "v"])
+
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema.fields, strict=True))
+    judged = docs.toDF(*inner).mapInArrow(wide, f"{schema}, v struct<{fields}>")
+    columns = [F.col(n).alias(c) for n, c in zip(inner, docs.columns, strict=True)]
+    if kept_only:
+        return judged.where("v.kept").select(*columns)
+    return judged.select(*columns, F.col("v").alias(fresh(verdict, docs.columns)))
 
 
 def digests(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -9,10 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Take the folder of ``spark.checkpoint.dir``; only where it is unset, a local one (tests)."""
+    """Take the folder of ``spark.checkpoint.dir``. Where it is unset, a local run takes a
+    temporary folder of this machine, and a cluster's run fails: executors do not share it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(frame: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def grammar() -> Transducer:
     """insult, then target, threat, negation and reported speech, composed left to right."""
     insult = Transducer({(0, INSULT): ("insult", 1.0, 0), (0, MILD): ("mild", 0.5, 0)})
     target = scope(TARGET, {"insult": "aimed"}, 4, 0.25)
-    threat = scope(THREAT, {TARGET: "threat"}, 3, 1.0)
+    threat = scope(THREAT, {TARGET: "threat"}, 3, 1.25)  # it is aimed by nature
     asserted = ("insult", "mild", "aimed", "threat")
     negation = scope(NEGATION, dict.fromkeys(asserted, "negated"), 4)
     reported = scope(REPORT, dict.fromkeys(("negated", *asserted), "reported"), 8)

@@ -101,6 +101,70 @@ def test_columns_that_clash_stay(spark):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_verdict_columns_may_clash(spark):
+    docs = corpus(spark)
+    judged = quality_rules.judge(docs, keep_columns=True)
+    assert judged.columns == [*docs.columns, "_quality_"] and judged.where("_quality_.kept").count() == 41
+    kept = quality_rules.judge(docs, keep_columns=True, kept_only=True)
+    assert kept.columns == docs.columns and kept.count() == 41
+
+
+def naive_distance(counts, reference):
+    total = sum(counts)
+    p = [c / total if total else 0 for c in counts]
+    out = 0.0
+    for a, b in zip(p, reference, strict=True):
+        m = (a + b) / 2
+        out += (a * np.log2(a / m) if a else 0) / 2 + (b * np.log2(b / m) if b else 0) / 2
+    return np.sqrt(max(0.0, min(1.0, out)))
+
+
+def naive_histograms(text):
+    """Counts by character class and of common words, character by character and word by word."""
+    from deltaweave.llm.text_stats import CLASSES, VOCABULARY
+
+    kinds = {**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "lower"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper"), **dict.fromkeys("0123456789", "digit"), **dict.fromkeys(" \t\x0b\x0c\r", "space"), "\n": "newline", **dict.fromkeys(".,;:!?", "stop"), **dict.fromkeys("'\"()-", "quote"), **dict.fromkeys("#*$%&|<>", "symbol")}
+    chars = collections.Counter("beyond" if ord(c) > 127 else kinds.get(c, "other") for c in text)
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text)]
+    words = [w[:-1] if len(w) > 1 and w[-1] in ".,;:!?" else w for w in words]
+    known = collections.Counter(w for w in words if w in VOCABULARY)
+    return [chars[k] for k in CLASSES], [*(known[w] for w in VOCABULARY), len(words) - sum(known.values())]
+
+
+def test_verdicts_equal_brute_force(spark, sf_dir):
+    """The query's verdicts on the smallest table, from histograms counted naively."""
+    from deltaweave.llm.text_stats import COMMON_WORDS, VOCABULARY
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    failed, hists, sums = {}, {}, {}
+    for r in rows:
+        n, _, _, _, again = brute(r.text or "")
+        failed[r.doc_id] = n < 50 or 100 * again > 50 * n
+        hists[r.doc_id] = chars, common = naive_histograms(r.text or "")
+        shares = [sum(c for c, w in zip(common, VOCABULARY, strict=False) if w in ws) for ws in COMMON_WORDS.values()]
+        if not failed[r.doc_id] and max(shares) >= quality_rules.EVIDENCE * n:
+            total = sums.setdefault(shares.index(max(shares)), [np.zeros(len(chars)), np.zeros(len(common))])
+            total[0] += chars
+            total[1] += common
+    limits, kept = quality_rules.Limits(), {}
+    for doc, (chars, common) in hists.items():
+        n = sum(common)
+        far = min(naive_distance(chars, c / c.sum()) for c, _ in sums.values()) > limits.characters and sum(chars) >= limits.min_characters
+        limit = limits.words * (max(limits.min_words / max(n, 1), 1)) ** limits.growth
+        far = far or min(naive_distance(common, w / w.sum()) for _, w in sums.values()) > limit
+        kept[doc] = not failed[doc] and not far
+    got = {r.doc_id: (r.base_failed, r.kept) for r in queries.QUERIES["op9_quality_rules"](spark, sf_dir).collect()}
+    assert got == {doc: (failed[doc], kept[doc]) for doc in kept} and 0 < sum(kept.values()) < len(kept)
+
+
+def test_a_corpus_of_junk_is_no_reference(spark):
+    junk = [(k, " ".join(f"xyz{(k * 7 + j) % 997}q" for j in range(300)), None, None) for k in range(30)]
+    assert quality_rules.references(frame(spark, junk)) == {}
+    assert not any(r.kept for r in quality_rules.judge(frame(spark, junk)).collect())
+    mixed = frame(spark, [*junk, (99, " ".join(PROSE.split() * 3 + [f"w{k}" for k in range(120)]) + ".", None, None)])
+    assert [r.doc_id for r in quality_rules.judge(mixed).where("kept").collect()] == [99]
+
+
 def test_distances_are_bounded():
     p = np.array([[1, 0, 0], [0, 0, 0], [2, 1, 1]])
     d = quality_rules.jensen_shannon(p, np.array([0, 0.5, 0.5]))
@@ -125,6 +189,93 @@ def test_toxicity_held_out_accuracy(spark, sf_dir):
     got = labelled(spark, "op7_toxicity", "toxic", 3, 1)
     assert (got.predicted == got.toxic).mean() > 0.9
     assert (got[got.toxic == 0].predicted == 0).mean() > 0.95
+    assert (got[got.toxic == 1].predicted == 1).mean() >= 0.75  # 18 documents, and a lexicon of 40
+
+
+def test_toxicity_held_out_recall(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = queries.QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1")
+    got = out.where("held_out").join(labels, "doc_id").select("predicted", "toxic").toPandas()
+    assert (got[got.toxic == 1].predicted == 1).mean() > 0.9
+    assert (got[got.toxic == 0].predicted == 1).mean() < 0.005 and docs.count() == out.count()
+
+
+MODEL = toxicity.Model(forms=(b"idiot", b"fool"), beginnings=(b"schuf",), mild=frozenset([b"schuf"]))
+
+
+def test_denials_and_quotations_lower_the_score(spark):
+    lines = ["you idiot", "idiot", "not an idiot", "he said you are an idiot", "", "i will kill you", "i will not kill you", "not an idiot. you idiot", "schuft", "he wrote: idiot"]
+    score = {lines[r.doc_id]: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string"), MODEL).collect()}
+    assert score["you idiot"] >= score["idiot"] > score["schuft"] > score[""] > score["not an idiot"]
+    assert score["you idiot"] > 0.7 > score["he said you are an idiot"] and score["he said you are an idiot"] < score[""]
+    assert score["i will kill you"] > 0.7 and score["i will not kill you"] < score[""] and score["he wrote: idiot"] > score[""]  # a border ends the quotation
+    assert score["you idiot"] > score["not an idiot. you idiot"] > score[""]
+
+
+def naive_score(text, model):
+    """One transducer after the other over every word of each clause, without composition or prefilter."""
+    matcher = toxicity.Matcher(model)
+    kinds, words = dict.fromkeys(toxicity.KINDS, 0.0), len(re.findall("[A-Za-z\u0080-\U0010ffff]+", text))
+    asserted = ("insult", "mild", "aimed", "threat")
+    for clause in re.split(r"[.!?;:\n]", text):
+        symbols = [matcher.symbol(w.encode()) for w in re.findall("[A-Za-z\u0080-\U0010ffff]+", clause.encode().lower().decode())]
+        weights = [0.0] * len(symbols)
+        stages = [(None, {toxicity.INSULT: ("insult", 1.0), toxicity.MILD: ("mild", 0.5)}, 0), (toxicity.TARGET, {"insult": ("aimed", 0.25)}, 4), (toxicity.THREAT, {toxicity.TARGET: ("threat", 1.25)}, 3), (toxicity.NEGATION, {k: ("negated", 0.0) for k in asserted}, 4), (toxicity.REPORT, {k: ("reported", 0.0) for k in ("negated", *asserted)}, 8)]
+        for trigger, marks, span in stages:
+            left = 0
+            for i, s in enumerate(symbols):
+                if trigger is not None and s == trigger:
+                    left = span
+                    continue
+                if (trigger is None or left > 0) and s in marks:
+                    symbols[i], weight = marks[s]
+                    weights[i] += weight
+                left = max(left - 1, 0)
+        path = {}
+        for s, w in zip(symbols, weights, strict=True):
+            if s in kinds:
+                path[s] = path.get(s, 0.0) + w
+        if path:
+            best = next(k for k in toxicity.KINDS if k in path)
+            kinds[best] += sum(w for k, w in path.items() if k in asserted or k == best)
+    share = 100 / max(words, 20)
+    strong = kinds["threat"] + kinds["aimed"] + kinds["insult"]
+    signals = np.log1p([*(kinds[k] for k in toxicity.KINDS), share * (strong + kinds["mild"]), share * strong])
+    return 1 / (1 + np.exp(-(signals @ model.weights + model.intercept)))
+
+
+def test_scores_equal_brute_force(spark, sf_dir):
+    rng = random.Random(9)
+    pool = "you they idiot Fool schuften kill burn not never said wrote he the nicht élan straße . ! \n ; tree house".split(" ")
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(600)] + [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3), MODEL).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(naive_score(text, MODEL), abs=1e-9), text
+
+
+def test_quality_scores_equal_brute_force(spark, sf_dir):
+    """The compiled rules against the rules read one by one over statistics counted naively."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels)
+    assert model.rules
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    for r in docs.collect():
+        text = r.text or ""
+        chars, common = naive_histograms(text)
+        n_words, word_chars, _, n_dup, again = brute(text)
+        words, lines = WORD.findall(text), [line for line in text.split("\n") if WORD.search(line)]
+        at = dict(zip(("lower", "upper", "digit", "space", "newline", "stop", "quote", "symbol", "other", "beyond"), chars, strict=True))
+        n, c = max(n_words, 1), max(sum(chars), 1)
+        values = [
+            np.log1p(n_words), word_chars / n, at["symbol"] / c, at["upper"] / max(at["lower"] + at["upper"], 1), at["digit"] / c, at["stop"] / n, at["other"] / c, at["beyond"] / c, at["newline"] / n,
+            n_dup / max(len(lines), 1), again / n, len(set(words)) / n, sum(common[:-1]) / n, text.count("|") / n, text.count("!") / n, text.count(".") / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(len(w.encode()) > 20 for w in words) / n,
+        ]
+        x = dict(zip(quality_classifier.FEATURES, [round(float(v), 6) for v in values], strict=True))
+        total = model.intercept
+        for rule in model.rules:
+            if all((x[quality_classifier.FEATURES[f]] > cut) == above for f, above, cut in rule.terms):
+                total += rule.weight
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9), r.doc_id
 
 
 def test_rules_compile_to_the_same_scores(spark):
