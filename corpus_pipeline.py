@@ -3,11 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. ``run`` writes each stage's rows as Parquet in the shared folder and reads
 them back for the next, so a stage never recomputes its predecessors and an executor may be lost
-at any time. Null texts count as empty texts throughout.
+at any time. Null texts count as empty texts throughout; texts of any length are taken whole;
+repeated rows are treated alike, but for near copies, of which rows with the smallest id stay; an
+empty table gives an empty result; further columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -15,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaweave.llm import ngram_join, packing, quality_rules, secret_scan, substring_dedup
+from deltaweave.llm.kernel import fresh
 from deltaweave.llm.queries import tokenizer_file
-from deltaweave.llm.storage import use_checkpoints
+from deltaweave.llm.storage import delete, use_checkpoints
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -27,20 +32,19 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.judge(docs, keep_columns=True).where("_quality.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return quality_rules.judge(docs, keep_columns=True, kept_only=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id; rows without id stay."""
     groups = ngram_join.join_components(docs)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(fresh("gone", docs.columns))).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words that a document with a smaller id holds too."""
-    cleaned = substring_dedup.dedup(docs, rejoin=False, keep_columns=True)
-    return _with_text(cleaned.drop("_dedup"), F.col("text"))
+    return _with_text(substring_dedup.dedup(docs, rejoin=False, keep_columns=True, counts=None), F.col("text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,12 +71,26 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.
+
+    A stage's rows are deleted when the next stage has written its own; the last stage's stay
+    in the shared folder for the reader, and are deleted when the session's driver ends.
+    """
     use_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    atexit.register(_quietly, delete, spark, folder)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
+
+
+def _quietly(function: Callable, *arguments) -> None:
+    """For the driver's end, when the session may be gone."""
+    with contextlib.suppress(Exception):
+        function(*arguments)
