@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaweave.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity, url_filters, vector_search
+from deltaweave.llm.storage import delete_quietly, use_checkpoints
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors meet; deleted when the driver ends."""
+    use_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete_quietly, spark, folder)
+    return folder
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds
@@ -61,7 +72,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digests(secret_scan.spans_by_document(table(spark, sf_dir, "documents")))
+    return secret_scan.digests(secret_scan.spans_through_ledger(table(spark, sf_dir, "documents"), shared_folder(spark, "ledger")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 
@@ -27,6 +28,12 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def delete_quietly(spark: SparkSession, folder: str) -> None:
+    """The same at the driver's end, when the session may be gone."""
+    with contextlib.suppress(Exception):
+        delete(spark, folder)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows from the shared folder: computed once, and safe from lost executors."""
     use_checkpoints(frame.sparkSession)

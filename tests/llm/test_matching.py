@@ -207,6 +207,29 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert added.where("kind IS NULL").count() == 8 + 6  # the 8 old blobs: the new rule; the new blob: all six
 
 
+def test_results_come_through_the_ledger(spark, tmp_path):
+    """Copies that arrive in both parts are scanned once, and every span is read from the ledger."""
+    docs = frame(spark, [*SECRETS, *SECRETS[:4]])
+    got = secret_scan.spans_through_ledger(docs, str(tmp_path / "l"))
+    texts = [*SECRETS, *SECRETS[:4]]
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in got.collect()} == {i: [(s, p + 1, k, e) for s, p, k, e in brute_secrets(t or "")] for i, t in enumerate(texts)}
+    ledger = secret_scan.Ledger(spark, str(tmp_path / "l"))
+    ledger.scans = 2
+    marks = ledger.table().where("kind IS NULL")
+    blobs = len({t or "" for t in texts})
+    assert marks.count() == marks.select("blob", "rule_version").distinct().count() == blobs * len(secret_scan.RULES)
+    assert secret_scan.new_rows(secret_scan.versions(docs), ledger.table()).isEmpty()
+    assert secret_scan.spans_through_ledger(docs.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_a_blob_of_many_documents_is_dealt_over_tasks(spark):
+    docs = spark.range(0, 3000, 1, 8).selectExpr("id AS doc_id", "'x token = abcdefgh12' AS text", "id AS spans")
+    got = secret_scan.spans_by_document(docs)
+    assert got.where("size(spans) = 1").count() == 3000
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns and clean.where("text = 'x [secret]'").count() == 3000
+
+
 def test_redaction_and_digests(spark):
     got = {r.doc_id: r for r in secret_scan.redact(frame(spark, SECRETS)).collect()}
     assert got[0].text == "x [secret]' y" and got[1].text is None and got[2].text == "" and got[0].c == "c0"
