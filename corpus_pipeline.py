@@ -10,9 +10,6 @@ empty table gives an empty result; further columns stay, whatever their names.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +17,8 @@ from pyspark.sql import functions as F
 
 from deltaweave.llm import ngram_join, packing, quality_rules, secret_scan, substring_dedup
 from deltaweave.llm.kernel import fresh
-from deltaweave.llm.queries import tokenizer_file
-from deltaweave.llm.storage import delete, use_checkpoints
+from deltaweave.llm.queries import shared_folder, tokenizer_file
+from deltaweave.llm.storage import delete
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -76,9 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     A stage's rows are deleted when the next stage has written its own; the last stage's stay
     in the shared folder for the reader, and are deleted when the session's driver ends.
     """
-    use_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    atexit.register(_quietly, delete, spark, folder)
+    folder = shared_folder(spark, "pipeline")
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
@@ -88,9 +83,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             delete(spark, before)
         before = path
     return docs
-
-
-def _quietly(function: Callable, *arguments) -> None:
-    """For the driver's end, when the session may be gone."""
-    with contextlib.suppress(Exception):
-        function(*arguments)
