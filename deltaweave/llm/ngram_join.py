@@ -8,13 +8,16 @@ Documents with equal shingle sets form a class (128-bit signature); classes are
    dropped; the others are ordered by frequency, rarest first, and of each class only the
    prefix that any partner must touch is kept.
 3. Inside a shingle's column, classes are first multiplied with one pivot each (a linear number
-   of pairs), twice with different pivots. Columns that are then connected need no more.
-4. Of columns that still hold several components, all remaining pairs across components are
-   multiplied, so no link between components is lost.
-
-The product itself runs in blocks of pairs: overlap counts of incidence rows are accumulated,
-and pairs below the size bounds are discarded before. Equality of shingles is equality of
-64-bit hashes inside a pair.
+   of pairs), several times with different pivots. Columns that are then connected need no more.
+4. What is still apart in a column is split by a second shingle: classes that can reach the
+   limit share two in prefixes longer by one. All pairs across components that meet in such a
+   pair of shingles, and that the size and place bounds allow, are multiplied too, so no link
+   between components is lost.
+
+A product's block is one incidence row and the rows that it is multiplied with, taken from the
+columns in strips: overlaps are accumulated strip by strip, and after each strip the pairs leave
+that can no longer reach the limit with the entries that remain. The rows of a block are dealt over
+as many tasks as they need. Equality of shingles is equality of 64-bit hashes inside a pair.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ SAMPLED, KEY_BITS = 0.4, 48
 BITMAP_CLASSES, BITMAP_BITS, BITMAP_BLOCK = 1 << 23, 27, 1 << 16
 #: Classes that a task remembers to leave out copies; more only mean repeated rows.
 REMEMBERED = 1_000_000
+#: Rows of a part of a product's block; strips of the hash space, as a power of two.
+BLOCK_ROWS, STRIP_BITS = 2_000, 3
+#: Classes from which a shingle's column is hot, and the most heavy shingles broadcast (16 MB).
+HOT_COLUMN, HEAVY = 1_000, 1 << 20
 
 
 class Sets:
@@ -204,55 +211,98 @@ def _reaches(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return 7 * F.least(n1 - p1, n2 - p2) >= 3 * (n1 + n2)
 
 
+def _overlaps(block: np.ndarray, rows: np.ndarray, sizes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which rows of a block (their shingles ``block``, each one's row in ``rows``) reach the
+    limit with one sorted incidence row: a sparse product in strips of the hash space."""
+    live = (4 * np.minimum(sizes, len(row)) >= 3 * np.maximum(sizes, len(row))) & (sizes > 0)
+    overlap, left = np.zeros(len(sizes), dtype=np.int64), sizes.copy()
+    need = -(-3 * (sizes + len(row)) // 7)  # the overlap of a pair at the limit
+    strip = (block >> U64(64 - STRIP_BITS)).astype(np.int64)
+    bounds = np.searchsorted((row >> U64(64 - STRIP_BITS)).astype(np.int64), np.arange((1 << STRIP_BITS) + 1))
+    for k in range(1 << STRIP_BITS):
+        at = np.flatnonzero((strip == k) & live[rows])
+        own = row[bounds[k] : bounds[k + 1]]
+        left -= np.bincount(rows[at], minlength=len(sizes))
+        if len(own) and len(at):
+            place = np.minimum(np.searchsorted(own, block[at]), len(own) - 1)
+            overlap += np.bincount(rows[at], weights=own[place] == block[at], minlength=len(sizes)).astype(np.int64)
+        live &= overlap + np.minimum(left, len(row) - bounds[k + 1]) >= need
+    return live & (overlap >= need)
+
+
 def _products(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` whose sets overlap enough: blocks of a masked sparse product."""
-    left = sets.select(F.col("c").alias("u"), F.col("grams").alias("gu"))
-    right = sets.select(F.col("c").alias("v"), F.col("grams").alias("gv"))
-    joined = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "gu", "gv")
+    """The pairs ``u, v`` whose sets overlap enough, block by block.
+
+    Each pair belongs to the block of its class that has more pairs, so a pivot's row is not
+    repeated for each of them. Blocks are dealt in parts of ``BLOCK_ROWS`` rows.
+    """
+    both = pairs.select("u", "v").withColumn("k", F.xxhash64("u", "v"))
+    degree = both.select(F.explode(F.array("u", "v")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("d"))
+    of = (degree.select(F.col("c").alias(x), F.col("d").alias(f"d{x}")) for x in "uv")
+    faced = both.join(next(of), "u").join(next(of), "v")
+    turned = F.col("du") > F.col("dv")
+    placed = faced.select(F.when(turned, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(turned, F.col("v")).otherwise(F.col("u")).alias("c"), F.pmod("k", F.ceil(F.greatest("du", "dv") / BLOCK_ROWS).cast("long")).alias("part"))
+    placed = placed.withColumn("kind", F.lit(1))
+    hubs = placed.select("hub", F.col("hub").alias("c"), "part").distinct().withColumn("kind", F.lit(0))
+    rows = placed.select("hub", "c", "part", "kind").unionByName(hubs.select("hub", "c", "part", "kind")).join(sets.select("c", "grams"), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, part, row = None, None, np.zeros(0, dtype=U64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = batch.column(2), batch.column(3)
-            na, nb = (np.array(x.value_lengths()) for x in (a, b))
+            hubs, parts, kinds, names = (batch.column(k) for k in range(4))
+            grams, n = np.array(batch.column(4).flatten()).view(U64), np.array(batch.column(4).value_lengths()).astype(np.int64)
+            ends = np.cumsum(n)
+            hub_list, part_list, kind_list = hubs.to_pylist(), parts.to_pylist(), kinds.to_pylist()
+            marks = [i for i in range(batch.num_rows) if i == 0 or kind_list[i] == 0 or (hub_list[i], part_list[i]) != (hub_list[i - 1], part_list[i - 1])]
             linked = np.zeros(batch.num_rows, dtype=bool)
-            rows, start = 0, 0
-            total = np.cumsum(na + nb)
-            while start < batch.num_rows:
-                rows = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + 2_000_000, side="right")))
-                part = slice(start, rows)
-                index = np.arange(rows - start)
-                # one row of the product: equal (pair, shingle) entries of both factors
-                keys = np.concatenate([np.array(x.slice(start, rows - start).flatten()).view(U64) ^ mix(np.repeat(index, n[part]).astype(U64), 51) for x, n in ((a, na), (b, nb))])
-                owner = np.concatenate([np.repeat(index, n[part]) for n in (na, nb)])
-                order = np.lexsort((keys, owner))
-                keys, owner = keys[order], owner[order]
-                same = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])
-                overlap = np.bincount(owner[1:][same], minlength=len(index))
-                linked[part] = 7 * overlap >= 3 * (na[part] + nb[part])
-                start = rows
+            for a, b in zip(marks, [*marks[1:], batch.num_rows], strict=True):
+                if kind_list[a] == 0:
+                    hub, part, row = hub_list[a], part_list[a], np.sort(grams[ends[a] - n[a] : ends[a]])
+                    a += 1
+                if a < b:
+                    if (hub, part) != (hub_list[a], part_list[a]):
+                        raise RuntimeError("a block came without its row")
+                    block = grams[ends[a] - n[a] : ends[b - 1]]
+                    linked[a:b] = _overlaps(block, np.repeat(np.arange(b - a), n[a:b]), n[a:b], row)
             take = pa.array(np.flatnonzero(linked))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([hubs.take(take), names.take(take)], names=["u", "v"])
+
+    dealt = rows.select("hub", "part", "kind", "c", "grams").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    found = dealt.mapInArrow(run, "u binary, v binary")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
 
-    return joined.mapInArrow(run, "u binary, v binary").distinct()
+def _heavy_shingles(sets: DataFrame) -> DataFrame:
+    """``s, weight``: shingles of very many classes, estimated from one class in 64; at most
+    ``HEAVY``, the heaviest, so what is not among them is held by fewer classes than these are."""
+    sampled = sets.where(F.pmod(F.xxhash64("c1", F.lit(3)), F.lit(64)) == 0).select(F.explode("grams").alias("s"))
+    counted = sampled.groupBy("s").agg((64 * F.count(F.lit(1))).alias("weight")).where(F.col("weight") > 16 * HOT_COLUMN)
+    return counted.orderBy(F.desc("weight"), "s").limit(HEAVY)
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """``s, c, n, place, central``: each class's prefix over shared shingles, rarest first."""
-    rows = sets.select("c", "n", F.explode("grams").alias("s"))
-    by_shingle = Window.partitionBy("s").orderBy("c")
-    whole = by_shingle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = (
-        rows.select("s", "c", "n", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi"), F.count(F.lit(1)).over(whole).alias("df"), F.lag("c").over(by_shingle).alias("before"))
-        .where("lo <> hi AND (before IS NULL OR before <> c)")
-        .select("s", "c", "n", "df")
-    )
+def _ranked(sets: DataFrame) -> DataFrame:
+    """``s, c, n, df, place, central``: each class's shared shingles, rarest first. ``df`` is the
+    number of rows that hold the shingle, or its weight if it is a heavy one: one number a
+    shingle, so all classes agree on the order. Heavy shingles need not meet in one task."""
+    heavy = cut(_heavy_shingles(sets))  # 16 bytes each, HEAVY of them at most
+    rows = sets.select("c", "n", F.explode("grams").alias("s")).join(F.broadcast(heavy), "s", "left")
+    whole = Window.partitionBy("s")
+    light = rows.where("weight IS NULL").select("s", "c", "n", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi"), F.count(F.lit(1)).over(whole).alias("df"))
+    shared = light.where("lo <> hi").select("s", "c", "n", "df").unionByName(rows.where("weight IS NOT NULL").select("s", "c", "n", F.col("weight").alias("df")))
+    # a class may come from several tasks: equal rows have one rank and one of them stays
     order = Window.partitionBy("c").orderBy("df", "s")
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = shared.select("s", "c", "n", (F.row_number().over(order) - 1).alias("k"), F.count(F.lit(1)).over(every).alias("kept"))
-    placed = ranked.select("s", "c", "n", (F.col("n") - F.col("kept") + F.col("k")).alias("place"), (F.col("kept") / F.col("n")).alias("central"))
-    return placed.where(F.col("place") <= F.floor(F.col("n") / 4))
+    ranked = shared.select("s", "c", "n", "df", (F.dense_rank().over(order) - 1).alias("k"), F.lag("s").over(order).alias("before")).withColumn("kept", F.max("k").over(Window.partitionBy("c")) + 1)
+    return ranked.where("before IS NULL OR before <> s").select("s", "c", "n", "df", (F.col("n") - F.col("kept") + F.col("k")).alias("place"), (F.col("kept") / F.col("n")).alias("central"))
+
+
+def _over_columns(rows: DataFrame, **aggregates: Column) -> DataFrame:
+    """Rows with aggregates over their shingle's column. Columns of many classes are aggregated
+    map-side and joined back, which the adaptive planner can split; the others are windows."""
+    few, many = rows.where(F.col("df") <= HOT_COLUMN), rows.where(F.col("df") > HOT_COLUMN)
+    whole = Window.partitionBy("s")
+    light = few.select("*", *(a.over(whole).alias(name) for name, a in aggregates.items()))
+    summed = many.groupBy("s").agg(*(a.alias(name) for name, a in aggregates.items()))
+    return light.unionByName(many.join(summed, "s").select(light.columns))
 
 
 def _open_columns(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -262,24 +312,35 @@ def _open_columns(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         known = labels.select(F.col("a").alias("c"), F.col("b").alias("root"))
         rows = prefix.join(known, "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
-    whole = Window.partitionBy("s")
-    return rows.withColumn("lo", F.min("label").over(whole)).withColumn("hi", F.max("label").over(whole)).where("lo <> hi").drop("lo", "hi")
+    return _over_columns(rows, lo=F.min("label"), hi=F.max("label")).where("lo <> hi").drop("lo", "hi")
 
 
 def _pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Each class with its column's pivot: the most central one, later others by hash."""
     rank = -F.col("central") if turn == 0 else F.xxhash64("c", F.lit(turn)).cast("double")
-    pivot = F.min(F.struct(rank.alias("r"), F.col("c").alias("v"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("label").alias("lv"))).over(Window.partitionBy("s"))
-    paired = rows.withColumn("p", pivot).select("c", "n", "place", "label", "p.v", "p.nv", "p.pv", "p.lv").where("label <> lv")
+    pivot = F.min(F.struct(rank.alias("r"), F.col("c").alias("v"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("label").alias("lv")))
+    paired = _over_columns(rows, p=pivot).select("c", "n", "place", "label", "p.v", "p.nv", "p.pv", "p.lv").where("label <> lv")
     fit = paired.where(_fits(F.col("n"), F.col("nv")) & _reaches(F.col("n"), F.col("place"), F.col("nv"), F.col("pv")))
     return fit.select(F.least("c", "v").alias("u"), F.greatest("c", "v").alias("v")).distinct()
 
 
-def _remaining_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs across components inside columns. The commonest component of a column is
-    not paired with itself, nor any other: only what is still apart."""
-    a, b = (rows.select("s", *(F.col(x).alias(x + t) for x in ("c", "n", "place", "label"))) for t in "12")
-    joined = a.join(b, "s").where("c1 < c2 AND label1 <> label2")
+def _second_shingles(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The rows of columns that are still apart, split by each other shingle of the class's
+    prefix that is longer by one: a pair that reaches the limit shares two shingles there, the
+    column's own and another, if it shares the column's own at all. Sets of one shingle leave:
+    only equal sets are similar to them, and these are one class."""
+    longer = ranked.where(F.col("place") <= F.floor(F.col("n") / 4) + 1).select("c", F.col("s").alias("s2"))
+    return rows.where("n > 1").join(longer, "c").where("s <> s2").select(F.xxhash64(F.least("s", "s2"), F.greatest("s", "s2")).alias("key"), "c", "n", "place", "label")
+
+
+def _remaining_pairs(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """All pairs across components that meet in a pair of shingles; what is connected is not
+    paired."""
+    split = _second_shingles(rows, ranked)
+    apart = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    open_ = split.join(apart, "key")
+    a, b = (open_.select("key", *(F.col(x).alias(x + t) for x in ("c", "n", "place", "label"))) for t in "12")
+    joined = a.join(b, "key").where("c1 < c2 AND label1 <> label2")
     fit = joined.where(_fits(F.col("n1"), F.col("n2")) & _reaches(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2")))
     return fit.select(F.col("c1").alias("u"), F.col("c2").alias("v")).distinct()
 
@@ -290,8 +351,8 @@ def join_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
 
     Words are runs outside ASCII white space with A-Z lowered; shingles have ``width`` words,
     shorter texts are one shingle. Null and empty texts have no shingles and link with nothing.
-    Ids must be integers; a row without id has a null component. Repeated rows share their
-    component; an empty table gives no rows; other columns are not read.
+    Texts of any length are taken whole. Ids must be integers; a row without id has a null
+    component. Repeated rows share their component; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -303,12 +364,13 @@ def join_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     labels = None
     if count := candidates.count():
         sets = cut(_candidate_sets(base, members, candidates, count, width))
-        prefix = cut(_prefixes(sets))
+        ranked = cut(_ranked(sets).where(F.col("place") <= F.floor(F.col("n") / 4) + 1))
+        prefix = ranked.where(F.col("place") <= F.floor(F.col("n") / 4))
         release(spark)
         links = None
         for turn in range(pivots + 1):
             rows = _open_columns(prefix, labels)
-            pairs = cut(_pivot_pairs(rows, turn) if turn < pivots else _remaining_pairs(rows))
+            pairs = cut(_pivot_pairs(rows, turn) if turn < pivots else _remaining_pairs(rows, ranked))
             if pairs.isEmpty():
                 if turn == pivots:
                     break

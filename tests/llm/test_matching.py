@@ -71,6 +71,41 @@ def test_join_equals_brute_force(spark, monkeypatch, most):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_products_in_strips_equal_brute_force():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    for _ in range(200):
+        row = np.sort(rng.choice(pool, rng.integers(1, 50), replace=False))
+        rows = [np.unique(np.r_[rng.choice(row, rng.integers(0, len(row) + 1), replace=False), rng.choice(pool, rng.integers(0, 9), replace=False)]) for _ in range(rng.integers(1, 30))]
+        sizes = np.array([len(r) for r in rows])
+        got = ngram_join._overlaps(np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes), sizes, row)
+        want = [bool(len(r)) and 100 * len(np.intersect1d(r, row)) >= 75 * len(np.union1d(r, row)) for r in rows]
+        assert got.tolist() == want
+
+
+@pytest.mark.parametrize("pivots", [0, 3])
+def test_hot_columns_and_small_blocks_change_nothing(spark, monkeypatch, pivots):
+    """Everything hot: heavy shingles, columns joined back, blocks of two rows."""
+    monkeypatch.setattr(ngram_join, "HOT_COLUMN", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 2)
+    texts = near_copies(9)
+    sets = [shingles(t) for t in texts]
+    want = {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, roots(sets), strict=True))}
+    got = ngram_join.join_components(frame(spark, [*texts]), pivots=pivots)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+def test_a_column_of_unlike_classes_is_split(spark):
+    """One passage shared by documents that are not similar otherwise, and two that are."""
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [" ".join([*passage, *(f"w{rng.randint(0, 9)}" for _ in range(60))]) for _ in range(40)]
+    texts.append(texts[7].replace("w3", "e3", 1))
+    sets = [shingles(t) for t in texts]
+    got = ngram_join.join_components(frame(spark, texts), pivots=0)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(roots(sets)))
+
+
 def test_chains_are_followed_without_pivots(spark):
     """Documents of which only neighbours in a chain are similar."""
     words = [f"w{k}" for k in range(140)]
