@@ -9,9 +9,9 @@ Documents with equal shingle sets form a class (128-bit signature); classes are
    prefix that any partner must touch is kept.
 3. Inside a shingle's column, classes are first multiplied with one pivot each (a linear number
    of pairs), several times with different pivots. Columns that are then connected need no more.
-4. What is still apart in a column is split by a second shingle: classes that can reach the
-   limit share two in prefixes longer by one. All pairs across components that meet in such a
-   pair of shingles, and that the size and place bounds allow, are multiplied too, so no link
+4. What is still apart in a column of many classes is split by a second shingle: classes that
+   can reach the limit share two in prefixes longer by one. All pairs across components that meet in a
+   column or such a pair of shingles, and that the size and place bounds allow, are multiplied too, so no link
    between components is lost.
 
 A product's block is one incidence row and the rows that it is multiplied with, taken from the
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BITMAP_CLASSES, BITMAP_BITS, BITMAP_BLOCK = 1 << 23, 27, 1 << 16
 REMEMBERED = 1_000_000
 #: Rows of a part of a product's block; strips of the hash space, as a power of two.
 BLOCK_ROWS, STRIP_BITS = 2_000, 3
+#: Classes up to which a column's remaining pairs are all multiplied; larger columns are split.
+SPLIT = 256
 #: Classes from which a shingle's column is hot, and the most heavy shingles broadcast (16 MB).
 HOT_COLUMN, HEAVY = 1_000, 1 << 20
 
@@ -334,15 +337,24 @@ def _second_shingles(rows: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def _remaining_pairs(rows: DataFrame, ranked: DataFrame) -> DataFrame:
-    """All pairs across components that meet in a pair of shingles; what is connected is not
-    paired."""
-    split = _second_shingles(rows, ranked)
+    """All pairs across components that meet in a column, or, in columns of more than ``SPLIT``
+    classes, in a pair of shingles; what is connected is not paired."""
+    sized = _over_columns(rows, m=F.count(F.lit(1)))
+    split = _second_shingles(sized.where(F.col("m") > SPLIT), ranked)
     apart = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_ = split.join(apart, "key")
-    a, b = (open_.select("key", *(F.col(x).alias(x + t) for x in ("c", "n", "place", "label"))) for t in "12")
+    few = sized.where(F.col("m") <= SPLIT).select(F.col("s").alias("key"), "c", "n", "place", "label")
+    found = [_pairs_by_key(few)]
+    split = split.join(apart, "key")
+    if not sized.where(F.col("m") > SPLIT).isEmpty():
+        found.append(_pairs_by_key(split))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _pairs_by_key(rows: DataFrame) -> DataFrame:
+    a, b = (rows.select("key", *(F.col(x).alias(x + t) for x in ("c", "n", "place", "label"))) for t in "12")
     joined = a.join(b, "key").where("c1 < c2 AND label1 <> label2")
     fit = joined.where(_fits(F.col("n1"), F.col("n2")) & _reaches(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2")))
-    return fit.select(F.col("c1").alias("u"), F.col("c2").alias("v")).distinct()
+    return fit.select(F.col("c1").alias("u"), F.col("c2").alias("v"))
 
 
 def join_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3) -> DataFrame:

@@ -88,6 +88,7 @@ def test_hot_columns_and_small_blocks_change_nothing(spark, monkeypatch, pivots)
     """Everything hot: heavy shingles, columns joined back, blocks of two rows."""
     monkeypatch.setattr(ngram_join, "HOT_COLUMN", 0)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "SPLIT", 2)
     texts = near_copies(9)
     sets = [shingles(t) for t in texts]
     want = {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, roots(sets), strict=True))}
@@ -95,8 +96,10 @@ def test_hot_columns_and_small_blocks_change_nothing(spark, monkeypatch, pivots)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
-def test_a_column_of_unlike_classes_is_split(spark):
+@pytest.mark.parametrize("split", [0, 5, 256])
+def test_a_column_of_unlike_classes_is_split(spark, monkeypatch, split):
     """One passage shared by documents that are not similar otherwise, and two that are."""
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     rng = random.Random(3)
     passage = [f"p{k}" for k in range(30)]
     texts = [" ".join([*passage, *(f"w{rng.randint(0, 9)}" for _ in range(60))]) for _ in range(40)]
