@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from deltaweave.session import empty_frame
+
 #: The weight column. It is part of every frame and of no user schema.
 W = "__w"
 
@@ -51,11 +53,11 @@ class ZFrame:
 
     @classmethod
     def zero(cls, spark: SparkSession, schema: StructType | str) -> ZFrame:
-        return cls.of(spark.createDataFrame([], schema))
+        return cls.of(empty_frame(spark, schema))
 
     def empty(self) -> ZFrame:
         """The empty table of this schema."""
-        return ZFrame(self.df.sparkSession.createDataFrame([], self.df.schema))
+        return ZFrame(empty_frame(self.df.sparkSession, self.df.schema))
 
     # -- access ------------------------------------------------------------------------
 

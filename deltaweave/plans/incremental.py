@@ -1,8 +1,10 @@
 """Incremental operators: each takes this step's deltas and returns its output's delta.
 
-State lives in checkpointed segments (shared folder): a step adds its change, and segments are
-merged by levels, so neither plans nor rewriting grow with the number of steps. Linear operators
-need none. Joins probe the state with delta rows; grouped operators touch only the delta's keys.
+State lives in the shared folder (``state``): a step adds its change, and segments are merged by
+levels, so neither plans nor rewriting grow with the number of steps. Linear operators need none.
+Joins probe the state with delta rows; grouped operators touch only the delta's keys. Deltas are
+cut and measured once; small ones are broadcast to the state, so a step does not shuffle it.
+What a step returns is lazy over cut frames.
 """
 
 from __future__ import annotations
@@ -10,50 +12,68 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaweave.operators import joins
 from deltaweave.operators.joins import Keys, key_list
 from deltaweave.operators.zframe import Condition, W, ZFrame, as_column
-from deltaweave.session import cut
+from deltaweave.plans.state import SMALL, Cell, Segments
+from deltaweave.session import known_empty, measured_cut
 
 
-class Segments:
-    """State as a log of checkpointed segments, merged by levels of ``fan`` segments.
+class Stateful:
+    """An operator whose state can be saved, restored and kept under a folder.
 
-    A step writes its change only; a row is rewritten once a level, so the work of keeping the
-    state follows the changes, not the table. Readers take the union of all segments.
+    ``parts`` are its logs, cells and inner operators; ``marks`` names its plain attributes.
     """
 
-    def __init__(self, merge: Callable[[DataFrame], DataFrame], fan: int = 8) -> None:
-        self.merge, self.fan = merge, fan
-        self.levels: list[list[DataFrame]] = [[]]
+    marks: tuple[str, ...] = ()
 
-    def append(self, change: DataFrame) -> None:
-        self.levels[0].append(cut(change))
-        k = 0
-        while len(self.levels[k]) > self.fan:
-            merged = cut(self.merge(reduce(DataFrame.unionByName, self.levels[k])))
-            self.levels[k] = []
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[k + 1].append(merged)
-            k += 1
+    def parts(self) -> list:
+        return []
 
-    def all(self) -> DataFrame | None:
-        held = [s for level in self.levels for s in level]
-        return reduce(DataFrame.unionByName, held) if held else None
+    def keep_under(self, folder: str) -> None:
+        """From now on write state as tables that outlive the driver."""
+        for part in self.parts():
+            if isinstance(part, Stateful):
+                part.keep_under(folder)
+            else:
+                part.folder = folder
 
+    def save(self) -> dict:
+        return {"parts": [p.save() for p in self.parts()], "marks": {m: getattr(self, m) for m in self.marks}}
 
-class Integral:
-    """The sum of all deltas so far (operator I). ``state`` is it unconsolidated."""
+    def restore(self, spark: SparkSession, saved: dict) -> None:
+        for part, own in zip(self.parts(), saved["parts"], strict=True):
+            part.restore(spark, own)
+        for name, value in saved["marks"].items():
+            setattr(self, name, value)
 
-    def __init__(self) -> None:
-        self.reset()
+
+def measured(delta: ZFrame) -> tuple[ZFrame, int]:
+    """The delta consolidated and cut, and its bytes."""
+    frame, size = measured_cut(delta.consolidate().df)
+    return ZFrame(frame), size
+
+
+def small(delta: ZFrame, size: int) -> ZFrame:
+    """The delta marked for broadcasting if its measured bytes allow it."""
+    return ZFrame(F.broadcast(delta.df)) if 0 < size <= SMALL else delta
+
+
+class Integral(Stateful):
+    """The sum of all deltas so far (operator I). ``state`` is it unconsolidated; ``keys`` are
+    what readers look rows up by."""
+
+    def __init__(self, keys: Keys = ()) -> None:
+        self.segments = Segments(lambda df: ZFrame(df).consolidate().df, key_list(keys))
+
+    def parts(self) -> list:
+        return [self.segments]
 
     def reset(self) -> None:
-        self.segments = Segments(lambda df: ZFrame(df).consolidate().df)
+        self.segments.levels = [[]]
 
     @property
     def state(self) -> ZFrame | None:
@@ -62,45 +82,60 @@ class Integral:
 
     def step(self, delta: ZFrame) -> ZFrame:
         self.segments.append(delta.consolidate().df)
-        return self.state.consolidate()
+        return (self.state or delta.empty()).consolidate()
+
+    def add(self, delta: ZFrame, size: int) -> None:
+        """Take a delta that ``measured`` has cut."""
+        self.segments.append(delta.df, size)
 
     def before(self, delta: ZFrame) -> ZFrame:
         """The sum before this step (to be called before ``step``)."""
         return self.state or delta.empty()
 
+    def touching(self, delta: ZFrame, known: DataFrame, size: int) -> ZFrame:
+        """Rows of the sum with the known keys."""
+        rows = self.segments.touching(known, size)
+        return delta.empty() if rows is None else ZFrame(rows)
+
 
-class Differential:
-    """This step's table minus the last one's (operator D)."""
+class Differential(Stateful):
+    """This step's table minus the last one's (operator D). The table is replaced each step, as
+    whole tables are what it is given."""
 
     def __init__(self) -> None:
-        self.reset()
+        self.last = Cell()
+
+    def parts(self) -> list:
+        return [self.last]
 
     def reset(self) -> None:
-        self.last: ZFrame | None = None
+        self.last.clear()
 
     def step(self, table: ZFrame) -> ZFrame:
-        now = ZFrame(cut(table.consolidate().df))
-        out = now if self.last is None else now.subtract(self.last).consolidate()
-        self.last = now
-        return out
+        before = self.last.frame
+        now = ZFrame(self.last.put(table.consolidate().df))
+        return now if before is None else now.subtract(ZFrame(before)).consolidate()
 
 
-class Delay:
+class Delay(Stateful):
     """The last step's delta (operator z^-1), the empty table at first."""
 
     def __init__(self) -> None:
-        self.reset()
+        self.held = Cell()
+
+    def parts(self) -> list:
+        return [self.held]
 
     def reset(self) -> None:
-        self.held: ZFrame | None = None
+        self.held.clear()
 
     def step(self, delta: ZFrame) -> ZFrame:
-        out = delta.empty() if self.held is None else self.held
-        self.held = ZFrame(cut(delta.df))
-        return out
+        before = self.held.frame
+        self.held.put(delta.df)
+        return delta.empty() if before is None else ZFrame(before)
 
 
-class Linear:
+class Linear(Stateful):
     """Filters, projections, flat maps and unions: the delta goes straight through."""
 
     def __init__(self, operator: Callable[..., ZFrame]) -> None:
@@ -113,12 +148,15 @@ class Linear:
         pass
 
 
-class Incrementalized:
+class Incrementalized(Stateful):
     """``D(Q(I(.)))`` of any query: exact, and a full recomputation a step."""
 
     def __init__(self, query: Callable[..., ZFrame], inputs: int = 1) -> None:
         self.query, self.integrals, self.difference = query, [Integral() for _ in range(inputs)], Differential()
 
+    def parts(self) -> list:
+        return [*self.integrals, self.difference]
+
     def step(self, *deltas: ZFrame) -> ZFrame:
         return self.difference.step(self.query(*(i.step(d) for i, d in zip(self.integrals, deltas, strict=True))))
 
@@ -127,23 +165,36 @@ class Incrementalized:
             part.reset()
 
 
-class Join:
+class Join(Stateful):
     """Bilinear inner join: new x new, old x new and new x old."""
 
     def __init__(self, left_keys: Keys, right_keys: Keys, where: Condition | None = None, select: Sequence[Condition] | None = None) -> None:
         self.arguments = (left_keys, right_keys, where, select)
-        self.left, self.right = Integral(), Integral()
+        self.left, self.right = Integral(left_keys), Integral(right_keys)
+
+    def parts(self) -> list:
+        return [self.left, self.right]
 
     def _join(self, a: ZFrame, b: ZFrame) -> ZFrame:
         return joins.join(a, b, *self.arguments)
 
+    def _probe(self, integral: Integral, own: ZFrame, keys: Keys, other: ZFrame, other_keys: Keys, size: int) -> ZFrame:
+        """The state's rows that can meet the other side's delta."""
+        if size > SMALL:
+            return integral.before(own)
+        known = other.df.select(*(F.col(f"`{k}`") for k in key_list(other_keys))).dropna().distinct()
+        return integral.touching(own, known, size) if any(s.buckets for s in integral.segments.held()) else integral.before(own)
+
     def step(self, left: ZFrame, right: ZFrame) -> ZFrame:
-        old_left, old_right = self.left.before(left), self.right.before(right)
-        out = self._join(left, right).add(self._join(old_left, right)).add(self._join(left, old_right))
-        out = ZFrame(cut(out.consolidate().df))
-        self.left.step(left)
-        self.right.step(right)
-        return out
+        (left, left_size), (right, right_size) = measured(left), measured(right)
+        left_keys, right_keys = self.arguments[:2]
+        old_left = self._probe(self.left, left, left_keys, right, right_keys, right_size)
+        old_right = self._probe(self.right, right, right_keys, left, left_keys, left_size)
+        a, b = small(left, left_size), small(right, right_size)
+        out = self._join(left, b).add(self._join(old_left, b)).add(self._join(a, old_right))
+        self.left.add(left, left_size)
+        self.right.add(right, right_size)
+        return out.consolidate()
 
     def reset(self) -> None:
         self.left.reset()
@@ -151,16 +202,19 @@ class Join:
 
 
 class AppendOnlyJoin(Join):
-    """The same for sides that only grow; a retraction is an error, not a wrong answer."""
+    """The same for sides that only grow; a retraction is an error, not a wrong answer. Rows are
+    never taken back, so results need not be consolidated: no shuffle beyond the join's own."""
 
     def step(self, left: ZFrame, right: ZFrame) -> ZFrame:
-        for name, side in (("left", left), ("right", right)):
-            if not side.is_positive():
+        out = super().step(left, right)
+        for name, integral in (("left", self.left), ("right", self.right)):
+            newest = integral.segments.levels[0][-1:] or integral.segments.held()[-1:]
+            if newest and not newest[0].rows().where(F.col(W) < 0).isEmpty():
                 raise ValueError(f"the {name} side of an append-only join got a retraction")
-        return super().step(left, right)
+        return out
 
 
-class Distinct:
+class Distinct(Stateful):
     """A row appears when its weight turns positive and disappears when it ceases to be.
 
     Only the rows of the delta are looked up in the state."""
@@ -168,30 +222,24 @@ class Distinct:
     def __init__(self) -> None:
         self.integral = Integral()
 
+    def parts(self) -> list:
+        return [self.integral]
+
     def step(self, delta: ZFrame) -> ZFrame:
-        delta = delta.consolidate()
-        old = self.integral.before(delta)
-        tagged = delta.df.withColumn("_old", F.lit(0).cast("long")).unionByName(_touching(old.df, delta.df, delta.columns).withColumn("_old", F.col(W)).withColumn(W, F.lit(0).cast("long")))
+        delta, size = measured(delta)
+        self.integral.segments.keys = delta.columns
+        old = self.integral.touching(delta, delta.df.select(*delta.cols()), size)
+        tagged = delta.df.withColumn("_old", F.lit(0).cast("long")).unionByName(old.df.withColumn("_old", F.col(W)).withColumn(W, F.lit(0).cast("long")))
         both = tagged.groupBy(*delta.cols()).agg(F.sum(W).alias("_new"), F.sum("_old").alias("_old"))
         sign = (F.col("_old") + F.col("_new") > 0).cast("long") - (F.col("_old") > 0).cast("long")
-        out = ZFrame(cut(both.select(*delta.cols(), sign.alias(W)).where(F.col(W) != 0)))
-        self.integral.step(delta)
-        return out
+        self.integral.add(delta, size)
+        return ZFrame(both.select(*delta.cols(), sign.alias(W)).where(F.col(W) != 0))
 
     def reset(self) -> None:
         self.integral.reset()
 
 
-def _touching(state: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """State rows whose keys (null-safely) occur in the delta."""
-    known = delta.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & state[f"`{k}`"].eqNullSafe(known[f"_k{i}"])
-    return state.join(known, on, "left_semi")
-
-
-class ByKey:
+class ByKey(Stateful):
     """Any query that works key by key (outer, semi and anti joins, min and max, top-k a group):
     only the delta's keys are recomputed, before and after.
 
@@ -200,27 +248,24 @@ class ByKey:
 
     def __init__(self, query: Callable[..., ZFrame], *keys: Keys) -> None:
         self.query, self.keys = query, [key_list(k) for k in keys]
-        self.integrals = [Integral() for _ in keys]
+        self.integrals = [Integral(k) for k in self.keys]
+
+    def parts(self) -> list:
+        return list(self.integrals)
 
     def step(self, *deltas: ZFrame) -> ZFrame:
-        touched = None
-        for delta, keys in zip(deltas, self.keys, strict=True):
-            own = delta.df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
-            touched = own if touched is None else touched.union(own)
-        touched = cut(touched.distinct())
-        olds = [i.before(d) for i, d in zip(self.integrals, deltas, strict=True)]
-        for i, d in zip(self.integrals, deltas, strict=True):
-            i.step(d)
-        news = [i.state for i in self.integrals]
-        before, after = (self.query(*(self._restrict(s, touched, k) for s, k in zip(states, self.keys, strict=True))) for states in (olds, news))
-        return ZFrame(cut(after.subtract(before).consolidate().df))
-
-    @staticmethod
-    def _restrict(state: ZFrame, touched: DataFrame, keys: list[str]) -> ZFrame:
-        on = F.lit(True)
-        for i, k in enumerate(keys):
-            on = on & state.df[k].eqNullSafe(touched[f"_k{i}"])
-        return ZFrame(state.df.join(touched, on, "left_semi")).consolidate()
+        cuts = [measured(d) for d in deltas]
+        if all(known_empty(d.df) for d, _ in cuts):
+            return self.query(*(d for d, _ in cuts))
+        names = [f"_k{i}" for i in range(len(self.keys[0]))]
+        own = [d.df.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True))) for (d, _), keys in zip(cuts, self.keys, strict=True)]
+        touched, size = measured_cut(reduce(DataFrame.union, own).distinct())
+        # both sides of the difference read these, so they are computed once
+        olds = [ZFrame(measured_cut(i.touching(d, touched, size).consolidate().df)[0]) for i, (d, _) in zip(self.integrals, cuts, strict=True)]
+        news = [old.add(d).consolidate() for old, (d, _) in zip(olds, cuts, strict=True)]
+        for integral, (d, n) in zip(self.integrals, cuts, strict=True):
+            integral.add(d, n)
+        return self.query(*news).subtract(self.query(*olds)).consolidate()
 
     def reset(self) -> None:
         for i in self.integrals:
@@ -261,88 +306,140 @@ def top_k(keys: Keys, order: Sequence[Column], k: int) -> ByKey:
     return ByKey(query, keys)
 
 
-class GroupSums:
+class GroupSums(Stateful):
     """COUNT, SUM and AVG by key from mergeable partials.
 
-    The state holds partials by key: total weight, and for each measure the sum and the weight
-    of its non-null values, so SUM is null exactly when no non-null value is left. Partials add
-    up, so a step just appends its own. Only touched keys are summed; each whose row changed gives the old row with weight -1 and the new with +1.
+    The state holds each key's partials as of its last change, with the step's number: total
+    weight, and for each measure the sum and the weight of its non-null values, so SUM is null
+    exactly when no non-null value is left. A step looks up the keys of its delta, adds, and
+    appends the new partials; each key whose row changed gives the old row, as it was given, with
+    weight -1 and the new one with +1. Floating-point sums may carry rounding, as running sums do,
+    but what is taken back is always what was given. Without keys there is one group, and with
+    ``always`` it has a row even when it is empty, as an SQL aggregate without GROUP BY has.
     """
 
-    def __init__(self, keys: Keys, **measures: tuple[str, Condition | None]) -> None:
-        self.keys, self.measures = key_list(keys), measures
-        self.reset()
+    marks = ("clock",)
+
+    def __init__(self, keys: Keys, always: bool = False, **measures: tuple[str, Condition | None]) -> None:
+        self.keys, self.measures, self.always = key_list(keys), measures, always and not key_list(keys)
+        if unknown := {kind for kind, _ in measures.values()} - {"count", "sum", "avg"}:
+            raise ValueError(f"{unknown} are not mergeable; use extremes()")
+        self.segments = Segments(self._latest, self.keys)
+        self.clock = 0
+
+    def parts(self) -> list:
+        return [self.segments]
 
     def reset(self) -> None:
-        self.segments = Segments(self._summed)
+        self.segments.levels, self.clock = [[]], 0
+
+    def _by_key(self) -> list[Column]:
+        return [F.col(f"`{k}`") for k in self.keys]
 
-    def _summed(self, partials: DataFrame) -> DataFrame:
-        """One row a key. Only keys whose every partial is zero vanish: a part of the log may hold a
-        key with weight 0 and a sum that other parts still need."""
-        measures = [c for c in partials.columns if c not in self.keys]
-        out = partials.groupBy(*self.keys).agg(*(F.sum(m).cast(partials.schema[m].dataType).alias(m) for m in measures))
-        return out.where(reduce(Column.__or__, (F.coalesce(F.col(m), F.lit(0)) != 0 for m in measures)))
+    def _latest(self, partials: DataFrame) -> DataFrame:
+        """The newest partials of each key. Emptied keys stay, as older segments may hold them."""
+        names = [c for c in partials.columns if c not in self.keys]
+        return partials.groupBy(*self._by_key()).agg(F.max_by(F.struct(*names), "_seq").alias("_x")).select(*self._by_key(), "_x.*")
 
     def _partials(self, delta: ZFrame) -> DataFrame:
-        parts = [F.sum(W).alias("_n")]
-        for name, (_, expression) in self.measures.items():
-            if expression is not None:
-                e = as_column(expression)
-                parts += [F.sum(e * F.col(W)).alias(f"_s_{name}"), F.coalesce(F.sum(F.when(e.isNotNull(), F.col(W))), F.lit(0)).alias(f"_c_{name}")]
-        return delta.df.groupBy(*self.keys).agg(*parts)
-
-    def _rows(self, state: DataFrame, weight: int) -> DataFrame:
-        out = [F.col(k) for k in self.keys]
+        parts = [F.coalesce(F.sum(W), F.lit(0)).alias("_n")]
+        for name, (function, expression) in self.measures.items():
+            if expression is None:
+                continue
+            e = as_column(expression)
+            parts.append(F.coalesce(F.sum(F.when(e.isNotNull(), F.col(W))), F.lit(0)).alias(f"_c_{name}"))
+            if function != "count":
+                kind, total = delta.df.select(e.alias("e")).schema["e"].dataType, F.sum(e * F.col(W))
+                if kind.typeName() == "decimal":  # one digit is left for the addition of two partials
+                    total = total.cast(f"decimal(37,{kind.scale})")
+                parts.append(total.alias(f"_s_{name}"))
+        return delta.df.groupBy(*self._by_key()).agg(*parts)
+
+    def _row(self, side: str) -> Column:
+        """The group's row as a struct of the measures of one side's partials; null if there is none."""
+        out = []
         for name, (kind, expression) in self.measures.items():
-            s, c = f"_s_{name}", f"_c_{name}"
+            s, c = F.col(f"{side}._s_{name}"), F.col(f"{side}._c_{name}")
             if kind == "count":
-                value = F.col("_n") if expression is None else F.col(c)
+                value = F.col(f"{side}._n") if expression is None else c
             elif kind == "sum":
-                value = F.when(F.col(c) != 0, F.col(s))
-            elif kind == "avg":
-                value = F.when(F.col(c) != 0, F.col(s).cast("double") / F.col(c))
+                value = F.when(c != 0, s)
             else:
-                raise ValueError(f"{kind!r} is not mergeable; use extremes()")
+                value = F.when(c != 0, s.cast("double") / c)
             out.append(value.alias(name))
-        return state.where(F.col("_n") != 0).select(*out, F.lit(weight).cast("long").alias(W))
+        here = F.col(f"{side}._n").isNotNull() if self.always else F.col(f"{side}._n") != 0
+        return F.when(here, F.struct(*out))
 
     def step(self, delta: ZFrame) -> ZFrame:
-        change = cut(self._partials(delta))
-        state = self.segments.all()
-        old = change.limit(0) if state is None else self._summed(_touching(state, change, self.keys))
-        new = self._summed(old.unionByName(change))
-        out = ZFrame(cut(ZFrame(self._rows(new, 1).unionByName(self._rows(old, -1))).consolidate().df))
-        self.segments.append(change)
-        return out
-
-
-class PrunedJoin:
+        change, size = measured_cut(self._partials(delta))
+        names = [c for c in change.columns if c not in self.keys]
+        kinds = {m: change.schema[m].dataType for m in names}
+        rows = change.select(*self._by_key(), *names, F.lit(None).cast("long").alias("_seq"), F.lit(None).cast(change.select(F.struct(*names).alias("_o")).schema["_o"].dataType).alias("_o"))
+        held = None if known_empty(change) else self.segments.touching(change.select(*self._by_key()), size)
+        if held is not None:
+            rows = rows.unionByName(held.select(*self._by_key(), *(F.lit(None).cast(kinds[m]).alias(m) for m in names), "_seq", F.struct(*names).alias("_o")))
+        both = rows.groupBy(*self._by_key()).agg(F.max_by("_o", "_seq").alias("_o"), *(F.sum(m).cast(kinds[m]).alias(m) for m in names))
+
+        def added(m: str) -> Column:
+            total = F.coalesce(F.col(f"_o.{m}") + F.col(m), F.col(f"_o.{m}"), F.col(m)).cast(kinds[m])
+            if m.startswith("_s_"):  # rounding does not outlive the values
+                weight = f"_c_{m[3:]}"
+                total = F.when(F.coalesce(F.col(f"_o.{weight}"), F.lit(0)) + F.col(weight) != 0, total)
+            return total.alias(m)
+
+        both, size = measured_cut(both.select(*self._by_key(), "_o", F.struct(*(added(m) for m in names)).alias("_new")))
+        self.clock += 1
+        self.segments.append(both.select(*self._by_key(), F.lit(self.clock).cast("long").alias("_seq"), "_new.*"), size)
+        changed = both.select(*self._by_key(), self._row("_o").alias("_was"), self._row("_new").alias("_is")).where(~F.col("_was").eqNullSafe(F.col("_is")))
+        signed = F.array(F.struct(F.col("_is").alias("r"), F.lit(1).cast("long").alias(W)), F.struct(F.col("_was").alias("r"), F.lit(-1).cast("long").alias(W)))
+        return ZFrame(changed.select(*self._by_key(), F.explode(signed).alias("_x")).where("_x.r IS NOT NULL").select(*self._by_key(), "_x.r.*", f"_x.{W}"))
+
+
+class PrunedJoin(Stateful):
     """Equi-join whose sides forget rows older than the other side's watermark by more than
     ``retention`` (same unit as the time columns); their results go too. Rows of one step count
-    as arriving together, in time order."""
+    as arriving together, in time order.
+
+    A step joins the deltas with what is held, and what falls behind a watermark with the other
+    side, so it touches the rows that come and go, not all results.
+    """
+
+    marks = ("seen", "pruned")
 
     def __init__(self, left_keys: Keys, right_keys: Keys, left_ts: str, right_ts: str, retention: float) -> None:
         self.keys, self.times, self.retention = (left_keys, right_keys), (left_ts, right_ts), retention
+        self.inner = Join(left_keys, right_keys)
         self.reset()
 
+    def parts(self) -> list:
+        return [self.inner]
+
     def reset(self) -> None:
-        self.sides: list[ZFrame | None] = [None, None]
-        self.marks: list[float | None] = [None, None]
-        self.difference = Differential()
+        self.inner.reset()
+        self.seen: list[float | None] = [None, None]
         self.pruned = [0, 0]
 
     def step(self, left: ZFrame, right: ZFrame) -> ZFrame:
-        deltas = (left, right)
-        states = [ZFrame(cut((d if s is None else s.add(d)).consolidate().df)) for s, d in zip(self.sides, deltas, strict=True)]
+        deltas = [measured(left)[0], measured(right)[0]]
+        marks = list(self.seen)
         for k in (0, 1):
-            seen = deltas[k].df.agg(F.max(self.times[k])).first()[0]
-            if seen is not None:
-                self.marks[k] = seen if self.marks[k] is None else max(seen, self.marks[k])
+            latest = deltas[k].df.agg(F.max(self.times[k])).first()[0]
+            if latest is not None:
+                marks[k] = latest if marks[k] is None else max(latest, marks[k])
+        out = list(deltas)
         if self.retention > 0:
             for k in (0, 1):
-                if (mark := self.marks[1 - k]) is not None:
-                    kept = ZFrame(cut(states[k].filter(F.col(self.times[k]) >= mark - self.retention).df))
-                    self.pruned[k] += states[k].size() - kept.size()
-                    states[k] = kept
-        self.sides = states
-        return self.difference.step(joins.join(*states, *self.keys))
+                if (mark := marks[1 - k]) is not None:
+                    late = F.col(self.times[k]) < mark - self.retention
+                    held = (self.inner.left, self.inner.right)[k].before(deltas[k]).filter(late)
+                    gone = ZFrame(measured_cut(held.add(deltas[k].filter(late)).consolidate().df)[0])
+                    self.pruned[k] += gone.size()
+                    out[k] = deltas[k].subtract(gone)
+        self.seen = marks
+        return self.inner.step(*out)
+
+    def memory(self) -> dict[str, int]:
+        """Rows held by side, bytes of the state's segments, and rows forgotten by side."""
+        sides = (self.inner.left, self.inner.right)
+        held = [0 if s.state is None else s.state.size() for s in sides]
+        return {"left_rows": held[0], "right_rows": held[1], "state_bytes": sum(x.size for s in sides for x in s.segments.held()), "left_pruned": self.pruned[0], "right_pruned": self.pruned[1]}

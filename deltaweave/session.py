@@ -1,11 +1,13 @@
-"""Session helpers: Python workers' path and checkpoints in shared storage."""
+"""Session helpers: Python workers' path, and checkpoints in shared storage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def reach_workers(spark: SparkSession) -> SparkSession:
@@ -21,13 +23,60 @@ def reach_workers(spark: SparkSession) -> SparkSession:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Take the folder of ``spark.checkpoint.dir``; only where it is unset, a local one (tests)."""
+    """Take the folder of ``spark.checkpoint.dir``. Where it is unset, a local run takes a
+    temporary folder of this machine, and a cluster's run fails: executors do not share it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+
+
+def empty_frame(spark: SparkSession, schema) -> DataFrame:
+    """No rows, in a form that the optimiser sees through: what is joined with it costs nothing."""
+    return spark.createDataFrame([], schema).where(F.lit(False))
+
+
+def known_empty(frame: DataFrame) -> bool:
+    """Whether the optimiser proves the frame empty; runs nothing."""
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    return plan.nodeName() == "LocalRelation" and plan.data().isEmpty()
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows from the shared folder: computed once, and safe from lost executors."""
-    use_checkpoints(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    return measured_cut(frame)[0]
+
+
+def measured_cut(frame: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and the bytes of the rows, measured in the same job."""
+    spark = frame.sparkSession
+    if known_empty(frame):
+        return empty_frame(spark, frame.schema), 0
+    use_checkpoints(spark)
+    seen, out = with_size(frame)
+    out = out.checkpoint(eager=True)
+    return out, size_of(seen)
+
+
+def with_size(frame: DataFrame) -> tuple[Observation, DataFrame]:
+    """The frame, observed so that its bytes are known when a job has run over it."""
+    seen = Observation(uuid.uuid4().hex)
+    # strings and binaries by their bytes; arrays, maps and structs by their text's
+    wide = [F.octet_length(f"`{f.name}`") if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) for f in frame.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    total = F.coalesce(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0)).cast("long")), F.lit(0)).alias("bytes")
+    return seen, frame.observe(seen, F.count(F.lit(1)).alias("rows"), total)
+
+
+def size_of(seen: Observation) -> int:
+    """Measured bytes plus eight for each row and eight fields."""
+    return seen.get["bytes"] + 64 * seen.get["rows"]
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
