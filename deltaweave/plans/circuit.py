@@ -2,11 +2,13 @@
 
 A node is an incremental operator over earlier nodes. Every node has its own id, so equal
 operators on one input never collide, and an input without a delta in a step has the empty one.
-Shared nodes are computed once a step.
+Nodes with several readers are cut, so they are computed once a step; a circuit's whole state can
+be saved and restored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from graphlib import TopologicalSorter
 
@@ -77,6 +79,14 @@ class View:
     def top_k(self, keys: Keys, order: Sequence[Column], k: int) -> View:
         return self._add("top_k", inc.top_k(keys, order, k))
 
+    def count(self) -> View:
+        """The total weight as one row ``count``, 0 for nothing."""
+        return self._add("count", inc.GroupSums([], always=True, count=("count", None)))
+
+    def sum(self, expression: Condition, name: str = "sum") -> View:
+        """The weighted sum of an expression as one row, null without a value."""
+        return self._add("sum", inc.GroupSums([], always=True, **{name: ("sum", expression)}))
+
     def query(self, function: Callable[..., ZFrame], *others: View) -> View:
         """Any query of whole tables, incrementalised."""
         return self._add("query", inc.Incrementalized(function, 1 + len(others)), *others)
@@ -87,7 +97,7 @@ class View:
         return self
 
 
-class Circuit:
+class Circuit(inc.Stateful):
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.inputs: dict[str, ZFrame] = {}
@@ -109,10 +119,12 @@ class Circuit:
         if unknown := set(deltas) - set(self.inputs):
             raise KeyError(f"no such input: {sorted(unknown)}")
         now = {name: ZFrame(cut(deltas[name].df)) if name in deltas else empty for name, empty in self.inputs.items()}
+        readers = Counter(source for _, sources in self.nodes.values() for source in sources) + Counter(node for node, _ in self.sinks)
         for node in TopologicalSorter({n: s for n, (_, s) in self.nodes.items()}).static_order():
             if node in self.nodes:
                 operator, sources = self.nodes[node]
-                now[node] = operator.step(*(now[s] for s in sources))
+                out = operator.step(*(now[s] for s in sources))
+                now[node] = ZFrame(cut(out.df)) if readers[node] > 1 else out
         for node, callback in self.sinks:
             callback(now[node])
         self.steps += 1
@@ -123,13 +135,31 @@ class Circuit:
             operator.reset()
         self.steps = 0
 
+    # -- survival ----------------------------------------------------------------------
+
+    def parts(self) -> list:
+        return [operator for operator, _ in self.nodes.values()]
+
+    def save(self) -> dict:
+        """Where all nodes' states are; to be restored into a circuit built the same way."""
+        return {"steps": self.steps, "nodes": list(self.nodes), **super().save()}
 
-class Collected:
+    def restore(self, spark: SparkSession, saved: dict) -> None:
+        if saved["nodes"] != list(self.nodes):
+            raise ValueError("the saved state is of a circuit with other nodes")
+        super().restore(spark, saved)
+        self.steps = saved["steps"]
+
+
+class Collected(inc.Stateful):
     """A sink that keeps the sum of the deltas it gets."""
 
     def __init__(self) -> None:
         self.integral = inc.Integral()
 
+    def parts(self) -> list:
+        return [self.integral]
+
     def __call__(self, delta: ZFrame) -> None:
         self.integral.step(delta)
 

@@ -19,7 +19,7 @@ from deltaweave.operators import joins
 from deltaweave.operators.joins import Keys, key_list
 from deltaweave.operators.zframe import Condition, W, ZFrame, as_column
 from deltaweave.plans.state import SMALL, Cell, Segments
-from deltaweave.session import known_empty, measured_cut
+from deltaweave.session import known_empty, measured_cut, observed_cut
 
 
 class Stateful:
@@ -186,7 +186,9 @@ class Join(Stateful):
         return integral.touching(own, known, size) if any(s.buckets for s in integral.segments.held()) else integral.before(own)
 
     def step(self, left: ZFrame, right: ZFrame) -> ZFrame:
-        (left, left_size), (right, right_size) = measured(left), measured(right)
+        return self._meet(*measured(left), *measured(right)).consolidate()
+
+    def _meet(self, left: ZFrame, left_size: int, right: ZFrame, right_size: int) -> ZFrame:
         left_keys, right_keys = self.arguments[:2]
         old_left = self._probe(self.left, left, left_keys, right, right_keys, right_size)
         old_right = self._probe(self.right, right, right_keys, left, left_keys, left_size)
@@ -194,7 +196,7 @@ class Join(Stateful):
         out = self._join(left, b).add(self._join(old_left, b)).add(self._join(a, old_right))
         self.left.add(left, left_size)
         self.right.add(right, right_size)
-        return out.consolidate()
+        return out
 
     def reset(self) -> None:
         self.left.reset()
@@ -202,16 +204,18 @@ class Join(Stateful):
 
 
 class AppendOnlyJoin(Join):
-    """The same for sides that only grow; a retraction is an error, not a wrong answer. Rows are
-    never taken back, so results need not be consolidated: no shuffle beyond the join's own."""
+    """The same for sides that only grow; a retraction is an error, not a wrong answer. The signs
+    are checked in the job that cuts the delta. As nothing is ever taken back, neither deltas nor
+    results are consolidated: a step does not shuffle but for joins of large deltas."""
 
     def step(self, left: ZFrame, right: ZFrame) -> ZFrame:
-        out = super().step(left, right)
-        for name, integral in (("left", self.left), ("right", self.right)):
-            newest = integral.segments.levels[0][-1:] or integral.segments.held()[-1:]
-            if newest and not newest[0].rows().where(F.col(W) < 0).isEmpty():
+        given = []
+        for name, side in (("left", left), ("right", right)):
+            frame, size, seen = observed_cut(side.df, least=F.min(W))
+            if seen["least"] is not None and seen["least"] < 0:
                 raise ValueError(f"the {name} side of an append-only join got a retraction")
-        return out
+            given += [ZFrame(frame), size]
+        return self._meet(*given)
 
 
 class Distinct(Stateful):

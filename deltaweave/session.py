@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,26 +53,32 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def measured_cut(frame: DataFrame) -> tuple[DataFrame, int]:
     """``cut``, and the bytes of the rows, measured in the same job."""
+    out, size, _ = observed_cut(frame)
+    return out, size
+
+
+def observed_cut(frame: DataFrame, **aggregates: Column) -> tuple[DataFrame, int, dict]:
+    """``measured_cut`` with further aggregates of the rows, all in one job."""
     spark = frame.sparkSession
     if known_empty(frame):
-        return empty_frame(spark, frame.schema), 0
+        return empty_frame(spark, frame.schema), 0, dict.fromkeys(aggregates)
     use_checkpoints(spark)
-    seen, out = with_size(frame)
+    seen, out = with_size(frame, **aggregates)
     out = out.checkpoint(eager=True)
-    return out, size_of(seen)
+    return out, size_of(seen), {name: seen.get[name] for name in aggregates}
 
 
-def with_size(frame: DataFrame) -> tuple[Observation, DataFrame]:
+def with_size(frame: DataFrame, **aggregates: Column) -> tuple[Observation, DataFrame]:
     """The frame, observed so that its bytes are known when a job has run over it."""
     seen = Observation(uuid.uuid4().hex)
     # strings and binaries by their bytes; arrays, maps and structs by their text's
     wide = [F.octet_length(f"`{f.name}`") if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) for f in frame.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
     total = F.coalesce(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0)).cast("long")), F.lit(0)).alias("bytes")
-    return seen, frame.observe(seen, F.count(F.lit(1)).alias("rows"), total)
+    return seen, frame.observe(seen, F.count(F.lit(1)).alias("rows"), total, *(a.alias(name) for name, a in aggregates.items()))
 
 
 def size_of(seen: Observation) -> int:
-    """Measured bytes plus eight for each row and eight fields."""
+    """Measured bytes of wide fields, and eight bytes for each of eight fields a row."""
     return seen.get["bytes"] + 64 * seen.get["rows"]
 
 
