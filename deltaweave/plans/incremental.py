@@ -324,7 +324,7 @@ class GroupSums(Stateful):
 
     marks = ("clock",)
 
-    def __init__(self, keys: Keys, always: bool = False, **measures: tuple[str, Condition | None]) -> None:
+    def __init__(self, keys: Keys, /, always: bool = False, **measures: tuple[str, Condition | None]) -> None:
         self.keys, self.measures, self.always = key_list(keys), measures, always and not key_list(keys)
         if unknown := {kind for kind, _ in measures.values()} - {"count", "sum", "avg"}:
             raise ValueError(f"{unknown} are not mergeable; use extremes()")

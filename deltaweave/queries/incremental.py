@@ -7,6 +7,7 @@ not 5) and returns the sum of the deltas it got back, so every retraction counts
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 from deltaweave.operators import joins
 from deltaweave.operators.zframe import ZFrame, weighted_count, weighted_sum
 from deltaweave.plans import incremental as inc
+from deltaweave.plans.builders import filter_map_query
 from deltaweave.plans.circuit import Circuit, Collected
 from deltaweave.plans.sqlviews import SqlViews
 from deltaweave.queries.registry import cents, query, table
-from deltaweave.session import use_checkpoints
+from deltaweave.session import cut, use_checkpoints
+from deltaweave.sources.feeds import Feed, dump, load
 from deltaweave.sources.keyed import KeyedTable, current_rows, last_changes, log_to_weights, residue_steps
-from deltaweave.streaming.algebra import T, ScalarStream, ZStream
-from deltaweave.streaming.runtime import MaintainedViews, as_timestamps, drop_stale, first_by_id, in_batches, interval_join, keep_newest, keep_oldest
+from deltaweave.sources.schema import infer_schema
+from deltaweave.streaming.algebra import T, ScalarStream, ZStream, compose
+from deltaweave.streaming.progress import Progress
+from deltaweave.streaming.runtime import MaintainedViews, Seen, as_timestamps, drop_stale, first_by_id, in_batches, interval_join, keep_newest, keep_oldest
 
 
 def run_steps(operator, *inputs: list[ZFrame]) -> ZFrame:
@@ -87,18 +92,16 @@ def incr_anti(spark, sf):
     return run_steps(inc.anti_join("o_custkey", "c_custkey"), _orders(spark, sf, "o_custkey"), customers).bag()
 
 
-def _outer(how, which="true"):
+def _outer(how):
     def run(spark, sf):
         customers = [d.filter("c_acctbal > 0").map("c_custkey", "c_mktsegment") for d in _customers(spark, sf, "c_acctbal", "c_mktsegment")]
-        orders = [d.filter(which).map("o_orderkey", "o_custkey") for d in _orders(spark, sf, "o_custkey")]
-        return run_steps(inc.outer_join("o_custkey", "c_custkey", how), orders, customers).map("o_orderkey", "c_custkey", "c_mktsegment").bag()
+        return run_steps(inc.outer_join("o_custkey", "c_custkey", how), _orders(spark, sf, "o_custkey"), customers).map("o_orderkey", "c_custkey", "c_mktsegment").bag()
 
     return run
 
 
 for _how in ("left", "right", "full"):
-    query(f"incr_{_how}", f"SELECT o_orderkey, c_custkey, c_mktsegment FROM (SELECT * FROM {_O} WHERE o_orderkey % 4 = 0) {_how.upper()} JOIN (SELECT * FROM {_C} WHERE c_acctbal > 0) ON o_custkey = c_custkey")(_outer(_how, "o_orderkey % 4 = 0"))
-    query(f"incr_{_how}_all", f"SELECT o_orderkey, c_custkey, c_mktsegment FROM {_O} {_how.upper()} JOIN (SELECT * FROM {_C} WHERE c_acctbal > 0) ON o_custkey = c_custkey")(_outer(_how))
+    query(f"incr_{_how}", f"SELECT o_orderkey, c_custkey, c_mktsegment FROM {_O} {_how.upper()} JOIN (SELECT * FROM {_C} WHERE c_acctbal > 0) ON o_custkey = c_custkey")(_outer(_how))
 
 
 @query("incr_group_sums", f"SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS s, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, count(p) AS n_known, CAST(sum(CAST(p AS DECIMAL(18,2))) AS DOUBLE) AS s_known FROM (SELECT *, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS p FROM {_O}) GROUP BY 1")
@@ -108,6 +111,48 @@ def incr_group_sums(spark, sf):
     return out.bag().withColumns({"s": F.col("s").cast("double"), "s_known": F.col("s_known").cast("double")})
 
 
+def _pruned_sides(spark, sf) -> tuple[list[ZFrame], list[ZFrame]]:
+    """Purchases and clicks in three deltas by time."""
+    events = as_timestamps(table(spark, sf, "events")).withColumn("at", F.unix_micros("ts"))
+    edges = events.selectExpr("percentile(at, array(0.34, 0.67)) AS q").first()["q"]
+    cuts = [-(2**62), *(int(x) for x in edges), 2**62]
+    left, right = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = events.where((F.col("at") >= a) & (F.col("at") < b))
+        left.append(ZFrame.of(part.where("event_type = 'purchase'").select("event_id", "user_id", F.col("at").alias("p_at"))))
+        right.append(ZFrame.of(part.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("c_user"), F.col("at").alias("c_at"))))
+    return left, right
+
+
+@query("incr_group_sums_steps", "SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS s, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 25 <> 24 GROUP BY 1")
+def incr_group_sums_steps(spark, sf):
+    """25 steps: each brings a 25th of the orders doubled in price and takes back the doubled ones
+    of the step before, whose plain prices it brings; logs merge several times on the way."""
+    orders = cut(table(spark, sf, "orders").select("o_custkey", "o_orderkey", cents("o_totalprice").alias("v")))
+    op, sink = inc.GroupSums("o_custkey", s=("sum", "v"), n=("count", None), keys=("sum", "o_orderkey")), Collected()
+    for k in range(25):
+        new, old = (orders.where(F.pmod("o_orderkey", F.lit(25)) == t).withColumn("v", (F.col("v") * 2).cast("decimal(18,2)")) for t in (k, k - 1))
+        plain = orders.where(F.pmod("o_orderkey", F.lit(25)) == k - 1)
+        sink(op.step(ZFrame.of(new).add(ZFrame.of(old, -1)).add(ZFrame.of(plain))))
+    sink(op.step(ZFrame.of(new, -1)))  # the last ones go
+    return sink.table.bag().withColumn("s", F.col("s").cast("double"))
+
+
+@query("incr_delay", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 10 IN (0, 1, 2, 4, 5, 6, 7, 8)")
+def incr_delay(spark, sf):
+    """A step late, so the third delta has not come out yet."""
+    return run_steps(inc.Delay(), _orders(spark, sf, "o_custkey")).map("o_orderkey", "o_custkey").bag()
+
+
+@query("incr_pruned_memory", "WITH e AS (SELECT event_type, epoch_us(ts) AS us FROM events WHERE event_type IN ('purchase', 'click')), m AS (SELECT max(us) FILTER (WHERE event_type = 'purchase') AS p, max(us) FILTER (WHERE event_type = 'click') AS c FROM e) SELECT count(*) FILTER (WHERE event_type = 'purchase' AND us >= c - 259200000000) AS left_rows, count(*) FILTER (WHERE event_type = 'click' AND us >= p - 259200000000) AS right_rows, count(*) FILTER (WHERE event_type = 'purchase' AND us < c - 259200000000) AS left_pruned, count(*) FILTER (WHERE event_type = 'click' AND us < p - 259200000000) AS right_pruned FROM e, m")
+def incr_pruned_memory(spark, sf):
+    op = inc.PrunedJoin("user_id", "c_user", "p_at", "c_at", 259_200_000_000)
+    for deltas in zip(*_pruned_sides(spark, sf), strict=True):
+        op.step(*deltas)
+    memory = op.memory()
+    return spark.createDataFrame([memory], "left_rows long, right_rows long, left_pruned long, right_pruned long")
+
+
 @query("incr_minmax", f"SELECT o_custkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM {_O} GROUP BY 1")
 def incr_minmax(spark, sf):
     return run_steps(inc.extremes("o_custkey", lo=("min", "o_totalprice"), hi=("max", "o_totalprice")), _orders(spark, sf, "o_custkey", "o_totalprice")).bag()
@@ -127,15 +172,7 @@ def incr_generic(spark, sf):
 
 @query("incr_pruned_join", "WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), c AS (SELECT * FROM events WHERE event_type = 'click') SELECT p.event_id, c.event_id AS click_id FROM p JOIN c ON p.user_id = c.user_id WHERE epoch_us(p.ts) >= (SELECT max(epoch_us(ts)) FROM c) - 259200000000 AND epoch_us(c.ts) >= (SELECT max(epoch_us(ts)) FROM p) - 259200000000")
 def incr_pruned_join(spark, sf):
-    events = as_timestamps(table(spark, sf, "events")).withColumn("at", F.unix_micros("ts"))
-    edges = events.selectExpr("percentile(at, array(0.34, 0.67)) AS q").first()["q"]
-    cuts = [-(2**62), *(int(x) for x in edges), 2**62]
-    left, right = [], []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        part = events.where((F.col("at") >= a) & (F.col("at") < b))
-        left.append(ZFrame.of(part.where("event_type = 'purchase'").select("event_id", "user_id", F.col("at").alias("p_at"))))
-        right.append(ZFrame.of(part.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("c_user"), F.col("at").alias("c_at"))))
-    return run_steps(inc.PrunedJoin("user_id", "c_user", "p_at", "c_at", 259_200_000_000), left, right).map("event_id", "click_id").bag()
+    return run_steps(inc.PrunedJoin("user_id", "c_user", "p_at", "c_at", 259_200_000_000), *_pruned_sides(spark, sf)).map("event_id", "click_id").bag()
 
 
 # -- circuits and SQL views ------------------------------------------------------------
@@ -168,6 +205,38 @@ def circuit_multi_view(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("circuit_count_sum", f"SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM {_O} WHERE o_orderstatus = 'O'")
+def circuit_count_sum(spark, sf):
+    circuit, n, total = Circuit(spark), Collected(), Collected()
+    steps = _orders(spark, sf, "o_orderstatus", "o_totalprice")
+    priced = circuit.input("orders", steps[0].schema).filter("o_orderstatus = 'O'").map(cents("o_totalprice").alias("v"))
+    priced.count().output(n)
+    priced.sum("v", "total").output(total)
+    for d in steps:
+        circuit.step({"orders": d})
+    return n.table.bag().withColumnRenamed("count", "n").crossJoin(total.table.bag().withColumn("total", F.col("total").cast("double")))
+
+
+@query("circuit_integrate_differentiate", f"SELECT o_custkey, CAST(count(*) AS BIGINT) AS weight FROM {_O} GROUP BY 1")
+def circuit_integrate_differentiate(spark, sf):
+    circuit, sink = Circuit(spark), Collected()
+    steps = [d.map("o_custkey") for d in _orders(spark, sf, "o_custkey")]
+    circuit.input("orders", steps[0].schema).integrate().differentiate().output(sink)
+    for d in steps:
+        circuit.step({"orders": d})
+    return sink.table.entries()
+
+
+@query("built_filter_map", f"SELECT o_custkey, CAST(count(*) AS BIGINT) AS weight FROM {_O} WHERE o_totalprice > 150000 GROUP BY 1")
+def built_filter_map(spark, sf):
+    steps = _orders(spark, sf, "o_custkey", "o_totalprice")
+    built, sink = filter_map_query(spark, steps[0].schema, "o_totalprice > 150000", "o_custkey"), Collected()
+    built.output.output(sink)
+    for d in steps:
+        built.step(d)
+    return sink.table.entries()
+
+
 _SCRIPT = """
 CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT, o_orderstatus VARCHAR(1), o_totalprice DOUBLE);
 CREATE TABLE customer (c_custkey BIGINT, c_mktsegment VARCHAR(20));
@@ -252,6 +321,11 @@ def stream_incrementalize(spark, sf):
     return _plain(_stream(spark, sf).incrementalize(lambda s: s.distinct()))
 
 
+@query("stream_compose", f"WITH i AS ({_INTEGRAL}) SELECT event_type, u, t, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT event_type, u, t, weight AS w FROM i WHERE u < 10 UNION ALL SELECT event_type, u, CAST(t + 1 AS INTEGER), -weight FROM i WHERE u < 10 AND t < {_STEPS - 1}) GROUP BY ALL HAVING sum(w) <> 0")
+def stream_compose(spark, sf):
+    return _plain(compose(ZStream.integrate, lambda s: s.filter("u < 10"), ZStream.differentiate)(_stream(spark, sf)))
+
+
 @query("stream_lifted_aggregate", f"SELECT t, CAST(sum(w) AS BIGINT) AS n, CAST(sum(w * u) AS BIGINT) AS s FROM {_EVENTS} GROUP BY 1")
 def stream_lifted_aggregate(spark, sf):
     return _stream(spark, sf).aggregate(weighted_count().alias("n"), weighted_sum("u").alias("s")).withColumnRenamed(T, "t")
@@ -326,6 +400,80 @@ def dedup_message_id(spark, sf):
     return first_by_id(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
+@query("dedup_across_batches", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
+def dedup_across_batches(spark, sf):
+    """Three batches by event id; an id met in an earlier batch does not pass again."""
+    events, seen, sink = table(spark, sf, "events").select("user_id", "event_id"), Seen("user_id", "event_id"), Collected()
+    edges = [int(x) for x in events.selectExpr("percentile(event_id, array(0.2, 0.7)) AS q").first()["q"]]
+    cuts = [-(2**62), *edges, 2**62]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        sink(ZFrame.of(seen(events.where((F.col("event_id") > a) & (F.col("event_id") <= b)))))
+    return sink.table.bag()
+
+
+@query("zset_zero_insert", "SELECT n_nationkey, n_name, CAST(3 AS BIGINT) AS weight FROM nation")
+def zset_zero_insert(spark, sf):
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    return ZFrame.zero(spark, nations.schema).insert(nations, 2).insert(nations).entries()
+
+
+@query("zset_map_batches", "SELECT c_custkey, upper(c_mktsegment) AS segment, CAST(1 AS BIGINT) AS weight FROM customer")
+def zset_map_batches(spark, sf):
+    def shout(batches):
+        for batch in batches:
+            batch["segment"] = batch["c_mktsegment"].str.upper()
+            yield batch[["c_custkey", "segment", "__w"]]
+
+    customers = ZFrame.of(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
+    return customers.map_batches(shout, "c_custkey long, segment string, __w long").entries()
+
+
+@query("dump_infer_load", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
+def dump_infer_load(spark, sf):
+    folder = _folder(spark)
+    dump(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), folder)
+    return load(spark, folder, infer_schema({"c_custkey": 1, "c_mktsegment": "x", "c_acctbal": 0.5}))
+
+
+@query("feed_controlled", "SELECT i AS order_id, CAST(i % 7 AS BIGINT) AS customer_id, CASE WHEN i < 100 THEN 0 WHEN i < 150 THEN 1 WHEN i < 450 THEN 2 WHEN i < 500 THEN 4 ELSE 5 END AS tick FROM generate_series(0, 519) t(i)")
+def feed_controlled(spark, sf):
+    """A snapshot of 100, 50 a tick, a burst of 250 beside it, a pause, and 20 a tick."""
+    feed = Feed(lambda ids: ids.selectExpr("id AS order_id", "id % 7 AS customer_id"), spark, rate=50)
+    parts = [feed.snapshot(100), feed.tick()]
+    feed.burst(250)
+    parts.append(feed.tick())
+    feed.pause()
+    parts.append(feed.tick())
+    feed.resume()
+    parts.append(feed.tick())
+    feed.rate = 20
+    parts.append(feed.tick())
+    tagged = [p.withColumn("tick", F.lit(k)) for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, tagged)
+
+
+@query("join_statistics", "SELECT (SELECT count(*) FROM orders) AS build_rows, (SELECT count(*) FROM customer) AS probe_rows, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS pairs")
+def join_statistics(spark, sf):
+    orders, seen = joins.observed(ZFrame.of(table(spark, sf, "orders").select("o_orderkey", "o_custkey")), "orders")
+    customers, met = joins.observed(ZFrame.of(table(spark, sf, "customer").select("c_custkey")), "customer")
+    pairs = joins.join(orders, customers, "o_custkey", "c_custkey").df.count()
+    return spark.createDataFrame([(seen.get["rows"], met.get["rows"], pairs)], "build_rows long, probe_rows long, pairs long")
+
+
+@query("stream_progress", "SELECT count(*) AS rows FROM events")
+def stream_progress(spark, sf):
+    """Rows that a listener has counted over all batches of a stream."""
+    folder, listener = _folder(spark), Progress()
+    spark.streams.addListener(listener)
+    try:
+        stream = in_batches(_event_stream(spark, sf), lambda batch, batch_id: batch.write.format("noop").mode("overwrite").save(), f"{folder}/checkpoint")
+        stream.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.createDataFrame([(int(listener.stats(stream.id)["rows"]),)], "rows long")
+    finally:
+        spark.streams.removeListener(listener)
+
+
 @query("freshness_last_n", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 500")
 def freshness_last_n(spark, sf):
     return keep_newest(table(spark, sf, "events").select("event_id"), "event_id", 500)

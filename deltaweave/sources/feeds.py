@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,6 +33,41 @@ def load_stream(spark: SparkSession, rows_a_second: int, *columns: str) -> DataF
     return source.selectExpr("value", "timestamp", *columns)
 
 
+class Feed:
+    """A generated feed of numbered messages under control: a snapshot, then ``rate`` messages a
+    tick, with bursts and pauses. ``make`` turns a column ``id`` into messages, so a feed's
+    content depends on the numbers alone.
+    """
+
+    def __init__(self, make: Callable[[DataFrame], DataFrame], spark: SparkSession, rate: int = 100) -> None:
+        self.make, self.spark, self.rate = make, spark, rate
+        self.sent, self.extra, self.paused = 0, 0, False
+
+    def _next(self, count: int) -> DataFrame:
+        first, self.sent = self.sent, self.sent + count
+        return self.make(self.spark.range(first, self.sent))
+
+    def snapshot(self, count: int) -> DataFrame:
+        return self._next(count)
+
+    def tick(self) -> DataFrame:
+        """The next messages; none while the feed is paused."""
+        if self.paused:
+            return self._next(0)
+        count, self.extra = self.rate + self.extra, 0
+        return self._next(count)
+
+    def burst(self, count: int) -> None:
+        """So many more messages with the next tick."""
+        self.extra += count
+
+    def pause(self) -> None:
+        self.paused = True
+
+    def resume(self) -> None:
+        self.paused = False
+
+
 def dump(df: DataFrame, path: str, kind: str = "json", partition_by: list[str] | None = None) -> None:
     """Write a table as a folder of files."""
     writer = df.write.mode("overwrite").format(kind)
