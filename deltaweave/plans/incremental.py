@@ -19,7 +19,7 @@ from deltaweave.operators import joins
 from deltaweave.operators.joins import Keys, key_list
 from deltaweave.operators.zframe import Condition, W, ZFrame, as_column
 from deltaweave.plans.state import SMALL, Cell, Segments
-from deltaweave.session import known_empty, measured_cut, observed_cut
+from deltaweave.session import known_empty, known_size, measured_cut, observed_cut
 
 
 class Stateful:
@@ -52,7 +52,9 @@ class Stateful:
 
 
 def measured(delta: ZFrame) -> tuple[ZFrame, int]:
-    """The delta consolidated and cut, and its bytes."""
+    """The delta, cut, and its bytes: as it is if it has been cut before, else consolidated."""
+    if (size := known_size(delta.df)) is not None:
+        return delta, size
     frame, size = measured_cut(delta.consolidate().df)
     return ZFrame(frame), size
 
@@ -375,7 +377,9 @@ class GroupSums(Stateful):
         return F.when(here, F.struct(*out))
 
     def step(self, delta: ZFrame) -> ZFrame:
-        change, size = measured_cut(self._partials(delta))
+        change, size = self._partials(delta), known_size(delta.df)
+        if size is None or size > SMALL:  # partials are no larger than a small delta
+            change, size = measured_cut(change)
         names = [c for c in change.columns if c not in self.keys]
         kinds = {m: change.schema[m].dataType for m in names}
         rows = change.select(*self._by_key(), *names, F.lit(None).cast("long").alias("_seq"), F.lit(None).cast(change.select(F.struct(*names).alias("_o")).schema["_o"].dataType).alias("_o"))

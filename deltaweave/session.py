@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,15 +58,27 @@ def measured_cut(frame: DataFrame) -> tuple[DataFrame, int]:
     return out, size
 
 
+#: Measured bytes of frames that have been cut, as long as they are in use.
+_SIZES: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def known_size(frame: DataFrame) -> int | None:
+    """The bytes of a frame that ``cut`` gave, if it is one."""
+    return _SIZES.get(frame)
+
+
 def observed_cut(frame: DataFrame, **aggregates: Column) -> tuple[DataFrame, int, dict]:
     """``measured_cut`` with further aggregates of the rows, all in one job."""
     spark = frame.sparkSession
     if known_empty(frame):
-        return empty_frame(spark, frame.schema), 0, dict.fromkeys(aggregates)
+        out = empty_frame(spark, frame.schema)
+        _SIZES[out] = 0
+        return out, 0, dict.fromkeys(aggregates)
     use_checkpoints(spark)
     seen, out = with_size(frame, **aggregates)
     out = out.checkpoint(eager=True)
-    return out, size_of(seen), {name: seen.get[name] for name in aggregates}
+    _SIZES[out] = size_of(seen)
+    return out, _SIZES[out], {name: seen.get[name] for name in aggregates}
 
 
 def with_size(frame: DataFrame, **aggregates: Column) -> tuple[Observation, DataFrame]:
