@@ -375,6 +375,27 @@ def test_pipeline_by_brute_force(spark):
     assert {p.doc_id for p in pieces} == {0, 2, 3, 4, 7} and all(p.offset + p.length <= 1024 for p in pieces)
 
 
+def test_pipeline_of_odd_tables(spark):
+    """Columns named like the operators' own, repeated rows, nulls in every column, no rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(2)
+    common = "the of and to in a is that for it as was with be by on".split()
+    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.4 else f"w{rng.randint(0, 999)}x" for _ in range(120))
+    same = prose()
+    rows = [(1, same, "q", 1, "g", None), (1, same, "q", 1, "g", None), (2, same, None, None, None, "x"), (3, prose() + " token = abcdefgh99", "q", 3, "g", "y"), (None, prose(), "n", 4, "g", "z"), (5, None, None, None, None, None), (6, "", "e", 6, "e", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _quality string, _dedup int, _gone string, gone string")
+    none = docs.limit(0)
+    for name, stage in pipeline.STAGES[:-1]:
+        docs, none = stage(spark, docs, ""), stage(spark, none, "")
+        assert docs.columns == ["doc_id", "text", "_quality", "_dedup", "_gone", "gone"], name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert none.count() == 0, name
+    left = sorted(((r.doc_id, r._quality, r._dedup, r._gone, r.gone) for r in docs.collect()), key=str)
+    assert left == [(1, "q", 1, "g", None), (1, "q", 1, "g", None), (3, "q", 3, "g", "y"), (None, "n", 4, "g", "z")]
+    assert any("[secret]" in r.text for r in docs.collect())
+    assert pipeline.packed(spark, docs, "").select("doc_id").distinct().count() == 3 and pipeline.packed(spark, none, "").count() == 0
+
+
 def test_pipeline_product_holds_the_token_ids(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     texts = ["some words of prose", "of another document\n"]
