@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.llm.components import EDGES_A_TASK, components
 from deltaweave.llm.kernel import U64, Block, Hasher, blocks, mix, window_owner_mask, windows, words
-from deltaweave.llm.storage import cut, release
+from deltaweave.llm.storage import arrow_rows, cut, release
 
 #: Share of the hash space whose shingles are counted in step 1, and bits of its keys.
 SAMPLED, KEY_BITS = 0.4, 48
@@ -43,8 +42,11 @@ BITMAP_CLASSES, BITMAP_BITS, BITMAP_BLOCK = 1 << 23, 27, 1 << 16
 REMEMBERED = 1_000_000
 #: Rows of a part of a product's block; strips of the hash space, as a power of two.
 BLOCK_ROWS, STRIP_BITS = 2_000, 3
-#: Classes up to which a column's remaining pairs are all multiplied; larger columns are split.
-SPLIT = 256
+#: Rows of an Arrow batch, each with a document's text or shingles.
+ARROW_ROWS = 1_000
+#: Classes up to which a column's remaining pairs are all tried: a pair tried in a task costs far
+#: less than a row shuffled. Larger columns are split by a second shingle.
+SPLIT = 4096
 #: Classes from which a shingle's column is hot, and the most heavy shingles broadcast (16 MB).
 HOT_COLUMN, HEAVY = 1_000, 1 << 20
 
@@ -308,21 +310,23 @@ def _over_columns(rows: DataFrame, **aggregates: Column) -> DataFrame:
     return light.unionByName(many.join(summed, "s").select(light.columns))
 
 
-def _open_columns(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Prefix rows with their class's component, of columns that hold several."""
+def _labelled(prefix: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Prefix rows with their class's component."""
     if labels is None:
-        rows = prefix.withColumn("label", F.col("c"))
-    else:
-        known = labels.select(F.col("a").alias("c"), F.col("b").alias("root"))
-        rows = prefix.join(known, "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
-    return _over_columns(rows, lo=F.min("label"), hi=F.max("label")).where("lo <> hi").drop("lo", "hi")
+        return prefix.withColumn("label", F.col("c"))
+    known = labels.select(F.col("a").alias("c"), F.col("b").alias("root"))
+    return prefix.join(known, "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
+
+
+#: Of a column: its smallest and largest component. It is open while these differ.
+_SPAN = {"lo": F.min, "hi": F.max}
 
 
 def _pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each class with its column's pivot: the most central one, later others by hash."""
+    """Each class of an open column with its pivot: the most central one, later others by hash."""
     rank = -F.col("central") if turn == 0 else F.xxhash64("c", F.lit(turn)).cast("double")
     pivot = F.min(F.struct(rank.alias("r"), F.col("c").alias("v"), F.col("n").alias("nv"), F.col("place").alias("pv"), F.col("label").alias("lv")))
-    paired = _over_columns(rows, p=pivot).select("c", "n", "place", "label", "p.v", "p.nv", "p.pv", "p.lv").where("label <> lv")
+    paired = _over_columns(rows, p=pivot, **{k: f("label") for k, f in _SPAN.items()}).where("lo <> hi").select("c", "n", "place", "label", "p.v", "p.nv", "p.pv", "p.lv").where("label <> lv")
     fit = paired.where(_fits(F.col("n"), F.col("nv")) & _reaches(F.col("n"), F.col("place"), F.col("nv"), F.col("pv")))
     return fit.select(F.least("c", "v").alias("u"), F.greatest("c", "v").alias("v")).distinct()
 
@@ -339,15 +343,14 @@ def _second_shingles(rows: DataFrame, ranked: DataFrame) -> DataFrame:
 def _remaining_pairs(rows: DataFrame, ranked: DataFrame) -> DataFrame:
     """All pairs across components that meet in a column, or, in columns of more than ``SPLIT``
     classes, in a pair of shingles; what is connected is not paired."""
-    sized = _over_columns(rows, m=F.count(F.lit(1)))
-    split = _second_shingles(sized.where(F.col("m") > SPLIT), ranked)
-    apart = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    few = sized.where(F.col("m") <= SPLIT).select(F.col("s").alias("key"), "c", "n", "place", "label")
-    found = [_pairs_by_key(few)]
-    split = split.join(apart, "key")
-    if not sized.where(F.col("m") > SPLIT).isEmpty():
-        found.append(_pairs_by_key(split))
-    return reduce(DataFrame.unionByName, found).distinct()
+    sized = cut(_over_columns(rows, m=F.count(F.lit(1)), **{k: f("label") for k, f in _SPAN.items()}).where("lo <> hi").select("s", "c", "n", "place", "label", "m"))
+    found = _pairs_by_key(sized.where(F.col("m") <= SPLIT).withColumnRenamed("s", "key"))
+    many = sized.where(F.col("m") > SPLIT)
+    if not many.isEmpty():
+        split = cut(_second_shingles(many, ranked))
+        apart = split.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        found = found.unionByName(_pairs_by_key(split.join(apart, "key")))
+    return found.distinct()
 
 
 def _pairs_by_key(rows: DataFrame) -> DataFrame:
@@ -357,17 +360,9 @@ def _pairs_by_key(rows: DataFrame) -> DataFrame:
     return fit.select(F.col("c1").alias("u"), F.col("c2").alias("v"))
 
 
-def join_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3) -> DataFrame:
-    """``id_col, n_shingles, component_id`` of every document: set size, and the smallest id
-    reachable over links of Jaccard similarity 0.75 or more.
-
-    Words are runs outside ASCII white space with A-Z lowered; shingles have ``width`` words,
-    shorter texts are one shingle. Null and empty texts have no shingles and link with nothing.
-    Texts of any length are taken whole. Ids must be integers; a row without id has a null
-    component. Repeated rows share their component; an empty table gives no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _linked(base: DataFrame, width: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The members, the classes, and the components of classes that have links."""
+    spark = base.sparkSession
     members = cut(_members(base, width))
     classes = members.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("c1").alias("c1"))
     unique = _sampled(base, width).groupBy("s").agg(F.min("c1").alias("k"), F.max("c1").alias("hi")).where("k = hi").groupBy("k").agg(F.count(F.lit(1)).alias("alone"))
@@ -381,7 +376,7 @@ def join_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
         release(spark)
         links = None
         for turn in range(pivots + 1):
-            rows = _open_columns(prefix, labels)
+            rows = _labelled(prefix, labels)
             pairs = cut(_pivot_pairs(rows, turn) if turn < pivots else _remaining_pairs(rows, ranked))
             if pairs.isEmpty():
                 if turn == pivots:
@@ -397,6 +392,21 @@ def join_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
             found = found.coalesce(1 + links_found // EDGES_A_TASK)
             links = found if links is None else links.unionByName(found)
             labels = components(links)
+    return members, classes, labels
+
+
+def join_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3) -> DataFrame:
+    """``id_col, n_shingles, component_id`` of every document: set size, and the smallest id
+    reachable over links of Jaccard similarity 0.75 or more.
+
+    Words are runs outside ASCII white space with A-Z lowered; shingles have ``width`` words,
+    shorter texts are one shingle. Null and empty texts have no shingles and link with nothing.
+    Texts of any length are taken whole. Ids must be integers; a row without id has a null
+    component. Repeated rows share their component; an empty table gives no rows; other columns are not read.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        members, classes, labels = _linked(base, width, pivots)
     if labels is None:
         final = classes.select("c", F.col("rep").alias("component_id"))
     else:

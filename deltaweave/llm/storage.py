@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within, Arrow batches have at most so many rows: for rows with long lists, of which the
+    default's ten thousand take much memory on both sides. Jobs must be run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()
