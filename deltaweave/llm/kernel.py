@@ -10,7 +10,9 @@ where equality must hold across a whole corpus, callers pair two of them (128 bi
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +48,26 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library keep it otherwise, and a
+    worker that waits for its next task holds what its executor needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that leaves no freed memory in its worker."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 class _Powers:
     """Powers of the base and of its inverse, grown on demand."""
 

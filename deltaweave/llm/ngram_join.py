@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaweave.llm.components import EDGES_A_TASK, components
-from deltaweave.llm.kernel import U64, Block, Hasher, blocks, mix, window_owner_mask, windows, words
+from deltaweave.llm.kernel import U64, Block, Hasher, blocks, mix, tidy, window_owner_mask, windows, words
 from deltaweave.llm.storage import arrow_rows, cut, release
 
 #: Share of the hash space whose shingles are counted in step 1, and bits of its keys.
@@ -117,7 +117,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
                 sets = Sets(block, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(sets.sizes.astype(np.int64)), sets.keys(), pa.array(sets.first.view(np.int64))], names=["id", "n", "c", "c1"])
 
-    return docs.mapInArrow(run, "id long, n long, c binary, c1 long")
+    return docs.mapInArrow(tidy(run), "id long, n long, c binary, c1 long")
 
 
 def _sampled(docs: DataFrame, width: int) -> DataFrame:
@@ -132,7 +132,7 @@ def _sampled(docs: DataFrame, width: int) -> DataFrame:
                 at = np.flatnonzero((sets.grams < limit) & fresh(sets)[sets.owners]) if len(sets.grams) else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((sets.grams[at] >> shift).view(np.int64)), pa.array(sets.first[sets.owners[at]].view(np.int64))], names=["s", "c1"])
 
-    return docs.mapInArrow(run, "s long, c1 long")
+    return docs.mapInArrow(tidy(run), "s long, c1 long")
 
 
 def _bitmap(classes: DataFrame, count: int) -> tuple[np.ndarray, int]:
@@ -154,7 +154,7 @@ def _bitmap(classes: DataFrame, count: int) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)])], names=["block", "bits"])
 
     cell = F.shiftrightunsigned(F.xxhash64("c1"), 64 - bits).alias("cell")
-    merged = classes.select(cell).repartition(F.shiftright("cell", 16)).sortWithinPartitions("cell").mapInArrow(merge, "block long, bits binary")
+    merged = classes.select(cell).repartition(F.shiftright("cell", 16)).sortWithinPartitions("cell").mapInArrow(tidy(merge), "block long, bits binary")
     out = np.zeros((max(1, (1 << bits) // BITMAP_BLOCK), BITMAP_BLOCK // 8), dtype=np.uint8)
     for row in merged.toLocalIterator():
         out[row.block] = np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
@@ -189,7 +189,7 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, cou
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([sets.keys().take(take), pa.array(sets.first[rows].view(np.int64)), pa.array(sets.sizes[rows].astype(np.int64)), pa.ListArray.from_arrays(pa.array(marks), pa.array(flat))], names=["c", "c1", "n", "grams"])
 
-    return docs.select("id", "text").mapInArrow(run, "c binary, c1 long, n long, grams array<long>")
+    return docs.select("id", "text").mapInArrow(tidy(run), "c binary, c1 long, n long, grams array<long>")
 
 
 def _xxhash64(values: np.ndarray) -> np.ndarray:
@@ -273,7 +273,7 @@ def _products(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([hubs.take(take), names.take(take)], names=["u", "v"])
 
     dealt = rows.select("hub", "part", "kind", "c", "grams").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
-    found = dealt.mapInArrow(run, "u binary, v binary")
+    found = dealt.mapInArrow(tidy(run), "u binary, v binary")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaweave.llm.kernel import ChunkStore, blocks
+from deltaweave.llm.kernel import ChunkStore, blocks, tidy
 
 #: Bits of a sequence id below the partition's number.
 LOCAL_BITS = 36
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             yield flush()
 
     schema = f"id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaweave.llm.kernel import Block, Hasher, blocks, fresh, mix, per_row, window_owner_mask, windows, words
+from deltaweave.llm.kernel import Block, Hasher, blocks, fresh, mix, per_row, tidy, window_owner_mask, windows, words
 
 #: Anchor runs are this many words (or the whole window, if that is shorter).
 GRAM = 10
@@ -130,8 +130,8 @@ def merged_sketch(docs: DataFrame, bits: int, width: int, text_col: str = "text"
         if at is not None:
             yield bitmap()
 
-    sketches = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(partial, "block long, once binary, more binary")
-    return sketches.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, cells binary")
+    sketches = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(partial), "block long, once binary, more binary")
+    return sketches.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(merge), "block long, cells binary")
 
 
 def collected(sketch: DataFrame, bits: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def collected(sketch: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(c, 1) for c in batch.column(1).to_pylist()], type=pa.binary())], names=["block", "cells"])
 
-    for row in sketch.mapInArrow(pressed, "block long, cells binary").toLocalIterator():
+    for row in sketch.mapInArrow(tidy(pressed), "block long, cells binary").toLocalIterator():
         out[row.block] = np.frombuffer(zlib.decompress(row.cells), dtype=np.uint8)
     return out
 
@@ -171,7 +171,7 @@ def with_suspected_anchors(docs: DataFrame, sketch: DataFrame, bits: int, width:
                 rows = pa.array(text.first + o)
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(a.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c) for c in cells)], names=["block", "a", "id", "sig", *(f"c{d}" for d in range(DEPTH))])
 
-    held = docs.mapInArrow(run, "block long, a long, id long, sig long, " + ", ".join(f"c{d} long" for d in range(DEPTH)))
+    held = docs.mapInArrow(tidy(run), "block long, a long, id long, sig long, " + ", ".join(f"c{d} long" for d in range(DEPTH)))
     hit = F.lit(True)
     for d in range(DEPTH):
         octet = F.conv(F.hex(F.substring("cells", F.shiftright(f"c{d}", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -197,7 +197,7 @@ def with_repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
                 rows = pa.array(block.first + o[new])
                 yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "id", "sig"])
 
-    held = docs.mapInArrow(run, "a long, id long, sig long")
+    held = docs.mapInArrow(tidy(run), "a long, id long, sig long")
     shared = held.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a")
     own = held.join(shared, "a").groupBy("id", "sig").agg(F.collect_set("a").alias("anchors"))
     return docs.join(own, ["id", "sig"]).select("id", "sig", "text", "anchors")
@@ -262,7 +262,7 @@ def _suspect_windows(docs: DataFrame, sketch: np.ndarray | None, bits: int, widt
         if count:
             yield settle()
 
-    return docs.mapInArrow(run, _WINDOW_FIELDS)
+    return docs.mapInArrow(tidy(run), _WINDOW_FIELDS)
 
 
 def repeated_starts(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -349,8 +349,8 @@ def dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: st
         kinds[at] = "string"
         schema = ", ".join(f"{n} {t}" for n, t in zip(carried, kinds, strict=True)) + ", counts struct<n_words: bigint, n_removed: bigint>"
         names = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
-        return flat.mapInArrow(run, schema).select(*names, *([] if counts is None else [F.col("counts").alias(fresh(counts, docs.columns))]))
-    return flat.mapInArrow(run, f"c0 {kinds[0]}, n_words long, n_removed long, kept string").withColumnRenamed("c0", id_col)
+        return flat.mapInArrow(tidy(run), schema).select(*names, *([] if counts is None else [F.col("counts").alias(fresh(counts, docs.columns))]))
+    return flat.mapInArrow(tidy(run), f"c0 {kinds[0]}, n_words long, n_removed long, kept string").withColumnRenamed("c0", id_col)
 
 
 def digests(deduped: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Jaccard join, substring dedup, secret scans, vector search and the pipeline by brute force."""
 
+import contextlib
 import hashlib
 import itertools
 import random
@@ -403,3 +404,37 @@ def test_pipeline_product_holds_the_token_ids(spark):
     for r in pieces:
         assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values()) > 0
+
+
+@pytest.mark.parametrize("operator", ["quality", "near_duplicates", "repeated_passages", "packed"])
+def test_tasks_give_their_memory_back(spark, monkeypatch, tmp_path, operator):
+    """Workers that keep freed memory between stages took the pipeline's executors over their limit."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    functions = []
+    plain = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, *a, **b: functions.append(run) or plain(self, run, *a, **b))
+    text = " ".join(f"of the and w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    getattr(pipeline, operator)(spark, docs, str(tmp_path)).collect()
+    calls = []
+    monkeypatch.setattr(kernel, "give_back", lambda: calls.append(1), raising=False)
+    assert functions
+    for run in functions:
+        calls.clear()
+        with contextlib.suppress(AttributeError):  # packing asks for its task, which there is none of here
+            list(run(iter([])))
+        assert calls == [1]
+
+
+def test_freed_memory_goes_back_to_the_system():
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1])  # noqa: E731, SIM115
+    kept, before = [], resident()
+
+    def run(batches):
+        # small arrays with every fiftieth still in use: the C library cannot return the rest by itself
+        held = [np.ones(12_000) for _ in range(2_000)]
+        kept.extend(held[::50])
+        yield from batches
+
+    assert list(kernel.tidy(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 60_000
