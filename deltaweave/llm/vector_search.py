@@ -5,7 +5,8 @@ coordinates plus two correction scalars (its length, and the inner product of it
 with the code). Inner products with a query are estimated from packed bits (popcounts against
 the query's four bit planes); the estimate has an error bound that shrinks with the dimension.
 A candidate is reranked on its original vector only if its upper bound reaches the k-th best
-lower bound, so what is left out is farther with high probability.
+lower bound, so what is left out is farther with high probability. The reranking is a block
+product; pairs that may enter by it are summed in the order of the coordinates.
 
 A small sample of rows gives every query a first lower bound and is clustered into cells of
 directions. Each task sorts its rows by cell; a cell whose angle to a query cannot reach the
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 #: Bytes of queries broadcast at once; rows held and rows and queries compared in one block.
 QUERY_BYTES = 32 << 20
 HELD_ROWS, ROW_BLOCK, QUERY_BLOCK = 16_384, 2_048, 256
+#: Coordinates of pairs of a query and a row that are summed at once; pairs held beyond the best.
+PAIR_VALUES, PAIRS_HELD = 4 << 20, 1 << 20
 #: Rows (the first by a hash of their id) and bytes of the sample, and cells made of it.
 SAMPLE_ROWS, SAMPLE_BYTES, CELLS = 2_048, 16 << 20, 32
 #: Bits of a quantised query coordinate.
@@ -113,29 +116,63 @@ def estimate(query: Query, rows: np.ndarray, codes: Codes, dimension: int) -> tu
 
 class Best:
     """The k best (score, id) of each query so far: largest score, then smallest id. Sums that
-    are not a number (infinite products of both signs) count as the largest, as in SQL."""
+    are not a number (infinite products of both signs) count as the largest, as in SQL.
 
-    def __init__(self, queries: int, k: int) -> None:
-        self.k, self.found = k, np.zeros(queries, dtype=np.int64)
-        self.score, self.id = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+    Rows are held as they come and sorted out together, once they are twice as many as can stay
+    or ``PAIRS_HELD`` more."""
 
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.r_[self.score[q, : self.found[q]], scores], np.r_[self.id[q, : self.found[q]], ids]
+    def __init__(self, queries: int, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> bool:
+        """Whether the rows held were sorted out."""
+        self.parts.append((q, scores, ids))
+        self.held += len(q)
+        if self.held <= self.queries * self.k + min(self.queries * self.k, PAIRS_HELD):
+            return False
+        self.sorted_out()
+        return True
+
+    def sorted_out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, scores and ids of the rows that stay, each query's best first."""
+        q, s, i = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.int64, np.float64, np.int64), zip(*self.parts, strict=True) if self.parts else ((), (), ()), strict=True))
         odd = np.isnan(s)
-        order = np.lexsort((i, -np.where(odd, 0, s), ~odd))[: self.k]
-        self.found[q] = len(order)
-        self.score[q, : len(order)], self.id[q, : len(order)] = s[order], i[order]
-
-
-def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the coordinates."""
+        order = np.lexsort((i, -np.where(odd, 0, s), ~odd, q))
+        q = q[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.parts = [(q[keep], s[order][keep], i[order][keep])]
+        self.held = int(keep.sum())
+        return self.parts[0]
+
+    def floors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The queries that have k rows, after these were sorted out, and the score of the k-th."""
+        q, s, _ = self.parts[0]
+        last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == self.k - 1)
+        return q[last], s[last]
+
+
+def exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, summed in the order of the coordinates: of one query
+    with all rows, or of each query with the row at its place."""
     total = np.zeros(len(rows))
     with np.errstate(over="ignore", under="ignore", invalid="ignore"):
         for j in range(rows.shape[1]):
-            total += rows[:, j] * query[j]
+            total += rows[:, j] * queries[..., j]
     return total
 
 
+def bounded(query: Query, some: np.ndarray, rows: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of inner products from a block product, whose order of summation is
+    not fixed; none where the product of the lengths leaves the range of doubles."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        scale = query.norm[some, None] * norm[None, :]
+        near = query.vectors[some] @ rows.T
+        fine = (scale > 1e-280) & (scale < 1e280)
+        return np.where(fine, near - 1e-9 * scale, -np.inf), np.where(fine, near + 1e-9 * scale, np.inf)
+
+
 def cell_centres(unit: np.ndarray, cells: int = CELLS, rounds: int = 8) -> np.ndarray:
     """Directions of up to ``cells`` clusters of a sample of directions."""
     centres = unit[np.linspace(0, len(unit) - 1, min(cells, len(unit))).astype(int)] if len(unit) else unit
@@ -222,6 +259,7 @@ def _scan(shared, dimension: int, k: int, use_codes: bool):
         query_ids, vectors, floors, centres = shared.value
         turn = rotation(dimension)
         query, best = Query(vectors, turn), Best(len(query_ids), k)
+        pairs = max(1, PAIR_VALUES // dimension)
         floors = floors.copy()
         toward = np.arccos(np.clip(query.unit @ centres.T, -1, 1)) if len(centres) else None
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -234,16 +272,22 @@ def _scan(shared, dimension: int, k: int, use_codes: bool):
                 if codes is None:
                     worth = other
                 else:
-                    low, high = estimate(query, some, codes, dimension)
-                    if len(ids) > k:
-                        low = np.where(other, low, -np.inf)
-                        floors[some] = np.maximum(floors[some], np.partition(low, -k, axis=1)[:, -k])
-                    worth = other & ~(high < floors[some, None])
-                for i in np.flatnonzero(worth.any(axis=1)).tolist():
-                    at, j = np.flatnonzero(worth[i]), int(some[i])
-                    best.add(j, exact(vectors[j], rows[at]), ids[at])
-                    if best.found[j] == k and best.score[j, -1] > floors[j]:
-                        floors[j] = best.score[j, -1]
+                    worth = other & ~(estimate(query, some, codes, dimension)[1] < floors[some, None])
+                # what the codes leave is reranked as a block, and summed in order if it can enter
+                at_q, at_r = np.flatnonzero(worth.any(axis=1)), np.flatnonzero(worth.any(axis=0))
+                if not len(at_q):
+                    continue
+                some, worth = some[at_q], worth[np.ix_(at_q, at_r)]
+                low, high = bounded(query, some, rows[at_r], norm[at_r])
+                if len(at_r) > k:
+                    least = np.partition(np.where(worth, low, -np.inf), -k, axis=1)[:, -k]
+                    floors[some] = np.maximum(floors[some], least)
+                i, j = np.nonzero(worth & ~(high < floors[some, None]))
+                for x in range(0, len(i), pairs):
+                    q, r = some[i[x : x + pairs]], at_r[j[x : x + pairs]]
+                    if best.add(q, exact(vectors[q], rows[r]), ids[r]):
+                        full, score = best.floors()
+                        floors[full] = np.fmax(floors[full], score)
 
         def by_cell() -> None:
             ids, rows = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -277,9 +321,8 @@ def _scan(shared, dimension: int, k: int, use_codes: bool):
                     count = 0
         if held:
             by_cell()
-        slot = np.arange(k)[None, :] < best.found[:, None]
-        q = np.nonzero(slot)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(best.id[slot]), pa.array(best.score[slot])], names=["query_id", "id", "score"])
+        q, scores, found = best.sorted_out()
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(found), pa.array(scores)], names=["query_id", "id", "score"])
 
     return run
 

@@ -321,6 +321,24 @@ def test_search_of_clusters_passes_over_cells(spark, monkeypatch, codes):
     assert len(got) == len(want) and len(got & want) / len(want) >= (0.98 if codes else 1)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 7])
+def test_a_task_reranks_by_block(monkeypatch, held):
+    """A call for each query and cell took most of a task's time, and grew as queries times rows."""
+    rng, calls, plain = np.random.default_rng(9), [], vector_search.exact
+    rows, ids = np.round(rng.standard_normal((3000, 16)), 1), np.arange(3000)
+    asked = ids % 20 == 0
+    shared = type("Shared", (), {"value": (ids[asked], rows[asked], np.full(150, -np.inf), vector_search.cell_centres(vector_search.directions(rows)[0]))})
+    monkeypatch.setattr(vector_search, "exact", lambda q, r: calls.append(len(r)) or plain(q, r))
+    monkeypatch.setattr(vector_search, "PAIRS_HELD", held, raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    (got,) = vector_search._scan(shared, 16, 5, True)(iter([batch]))
+    assert len(calls) <= vector_search.CELLS  # one block of queries, one block of rows a cell
+    want = [(q, i) for q in ids[asked].tolist() for i in np.lexsort((ids, -plain(rows[q], rows)))[:6].tolist() if i != q]
+    top = {q: [i for p, i in want if p == q][:5] for q in ids[asked].tolist()}
+    found = {q: [i for p, i in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True) if p == q] for q in top}
+    assert sum(a in found[q] for q in top for a in top[q]) >= 0.99 * 5 * len(top)
+
+
 def test_search_of_tiny_and_huge_vectors(spark):
     """Lengths whose squares leave the range of doubles."""
     rng = np.random.default_rng(4)
