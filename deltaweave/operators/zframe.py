@@ -175,13 +175,28 @@ class ZFrame:
 
     def sum(self, expression: Condition, name: str = "sum") -> DataFrame:
         """Weighted sum (null without a non-null value)."""
-        return self.df.agg(F.sum(as_column(expression) * F.col(W)).alias(name))
+        return self.df.agg(F.sum(weighed(self.df, expression)).alias(name))
 
     def reduce(self, *aggregates: Column) -> DataFrame:
         """Any aggregate expressions over rows and ``__w``."""
         return self.df.agg(*aggregates)
 
 
+def weighed(df: DataFrame, expression: Condition) -> Column:
+    """An expression over ``df`` times the weight. A decimal keeps its scale: the product with a
+    long would have over 38 digits from a precision of 18 on, and Spark takes those off the scale."""
+    e = as_column(expression)
+    kind = df.select(e.alias("e")).schema["e"].dataType
+    if kind.typeName() != "decimal" or kind.precision > 28:
+        return e * F.col(W)
+    digits = min(19, 37 - kind.precision)
+    exact = (e * F.col(W).cast(f"decimal({digits},0)")).cast(f"decimal(38,{kind.scale})")
+    if digits == 19:  # every long
+        return exact
+    small = F.col(W).between(1 - 10**digits, 10**digits - 1)
+    return F.when(small, exact).otherwise((e * F.col(W)).cast(f"decimal(38,{kind.scale})"))
+
+
 def weighted_sum(expression: Condition) -> Column:
     return F.sum(as_column(expression) * F.col(W))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from deltaweave.operators import joins
 from deltaweave.operators.joins import Keys, key_list
-from deltaweave.operators.zframe import Condition, W, ZFrame, as_column
+from deltaweave.operators.zframe import Condition, W, ZFrame, as_column, weighed
 from deltaweave.plans.state import SMALL, Cell, Segments
 from deltaweave.session import known_empty, known_size, measured_cut, observed_cut
 
@@ -355,7 +355,7 @@ class GroupSums(Stateful):
             e = as_column(expression)
             parts.append(F.coalesce(F.sum(F.when(e.isNotNull(), F.col(W))), F.lit(0)).alias(f"_c_{name}"))
             if function != "count":
-                kind, total = delta.df.select(e.alias("e")).schema["e"].dataType, F.sum(e * F.col(W))
+                kind, total = delta.df.select(e.alias("e")).schema["e"].dataType, F.sum(weighed(delta.df, e))
                 if kind.typeName() == "decimal":  # one digit is left for the addition of two partials
                     total = total.cast(f"decimal(37,{kind.scale})")
                 parts.append(total.alias(f"_s_{name}"))

@@ -77,8 +77,8 @@ def observed_cut(frame: DataFrame, **aggregates: Column) -> tuple[DataFrame, int
     use_checkpoints(spark)
     seen, out = with_size(frame, **aggregates)
     out = out.checkpoint(eager=True)
-    _SIZES[out] = size_of(seen)
-    return out, _SIZES[out], {name: seen.get[name] for name in aggregates}
+    _SIZES[out], found = size_of(seen), observed(seen)
+    return out, _SIZES[out], {name: found.get(name) for name in aggregates}
 
 
 def with_size(frame: DataFrame, **aggregates: Column) -> tuple[Observation, DataFrame]:
@@ -90,9 +90,16 @@ def with_size(frame: DataFrame, **aggregates: Column) -> tuple[Observation, Data
     return seen, frame.observe(seen, F.count(F.lit(1)).alias("rows"), total, *(a.alias(name) for name, a in aggregates.items()))
 
 
+def observed(seen: Observation) -> dict:
+    """What was observed; nothing where the planner found during the run that no row can come, and
+    left the observation out with the rest of the plan."""
+    return seen.get if seen._jo.getRow().length() else {}
+
+
 def size_of(seen: Observation) -> int:
     """Measured bytes of wide fields, and eight bytes for each of eight fields a row."""
-    return seen.get["bytes"] + 64 * seen.get["rows"]
+    found = observed(seen)
+    return found.get("bytes", 0) + 64 * found.get("rows", 0)
 
 
 def delete(spark: SparkSession, folder: str) -> None:
