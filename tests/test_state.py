@@ -140,11 +140,13 @@ def test_decimals_keep_their_scale(spark, kind, value, total):
     assert str(sink.table.bag().first().s) == str(rows.sum("x").first()[0]) == total
 
 
-def test_sizes_of_rows_that_turn_out_to_be_none(spark):
+def test_sizes_of_rows_that_turn_out_to_be_none(spark, tmp_path):
     """The planner leaves the observation out where it finds while running that no row can come."""
     none = spark.range(9).repartition(3).where("id < 0").join(spark.range(9).repartition(3), "id").groupBy("id").count()
     out, size, more = observed_cut(none, most=F.max("count"))
     assert out.isEmpty() and size == 0 and more == {"most": None}
+    segment = state.write_segment(none, str(tmp_path), ["id"], 2)
+    assert segment.size == 0 and segment.rows().isEmpty()
 
 
 def test_global_aggregates_have_a_row_for_nothing(spark):
